@@ -83,24 +83,28 @@ def lexicon_hits(c: Column, words: Iterable[str], mode: str = "substring") -> Co
     """Lexicon words found in the text, longest first.
 
     Substring is the default rule, so "r" is found in almost any text; mode="token" asks for
-    whole tokens instead. Each test is one generated branch over one shared lower-cased text.
+    whole tokens instead. The text is lower-cased once, however many words are tested.
     """
     ordered = by_length(words)
     if mode == "token":
         return F.array_intersect(words_array(ordered), token_set(c))
     if not ordered:
         return words_array(())
-    low = F.lower(c)
-    return F.array_compact(
-        F.array(*[F.when(low.contains(w.lower()), F.lit(w)) for w in ordered])
+    return let(
+        F.lower(c),
+        lambda low: F.array_compact(
+            F.array(*[F.when(low.contains(w.lower()), F.lit(w)) for w in ordered])
+        ),
     )
 
 
 def domain_hits(c: Column, domains: dict[str, Iterable[str]]) -> Column:
     """Domains with at least one keyword in the text, in map order."""
-    low = F.lower(c)
-    return F.array_compact(
-        F.array(*[F.when(contains_any(low, kws), F.lit(d)) for d, kws in domains.items()])
+    return let(
+        F.lower(c),
+        lambda low: F.array_compact(
+            F.array(*[F.when(contains_any(low, kws), F.lit(d)) for d, kws in domains.items()])
+        ),
     )
 
 
@@ -141,16 +145,16 @@ def experience_level(c: Column, n_experience: Column, levels) -> Column:
 
 
 def word_counts(c: Column, stop_words: Iterable[str]) -> Column:
-    """Per-text word counts as array<struct<n, pos, word>> in first-position order of words.
+    """Per-text word counts as array<struct<n, pos, word>>; pos is where a word is first seen.
 
     Words are sorted inside the row and each run of equal words is measured by where the next
     run starts, so counting needs no shuffle and one long text stays one row.
     """
-    words = F.filter(
-        F.transform(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), F.lower),
-        lambda w: (F.length(w) > 2) & ~w.isin(list(stop_words)),
+    words = F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    placed = F.sort_array(
+        F.transform(words, lambda w, i: F.struct(F.lower(w).alias("word"), i.alias("pos")))
     )
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
+    ignored = [w for w in stop_words if len(w) > 2]
 
     def runs(rows: Column) -> Column:
         starts = F.filter(
@@ -163,7 +167,7 @@ def word_counts(c: Column, stop_words: Iterable[str]) -> Column:
             ),
             lambda s: s.isNotNull(),
         )
-        return let(
+        counted = let(
             starts,
             lambda ss: F.transform(
                 ss,
@@ -174,13 +178,16 @@ def word_counts(c: Column, stop_words: Iterable[str]) -> Column:
                 ),
             ),
         )
+        return F.filter(
+            counted, lambda r: (F.length(r["word"]) > 2) & ~r["word"].isin(ignored)
+        )
 
     return let(placed, runs)
 
 
 def top_keywords(c: Column, stop_words: Iterable[str], k: int = 30, min_count: int = 2) -> Column:
     """The k most frequent words, earlier word first on ties, then those seen min_count times."""
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(
             word_counts(c, stop_words),
             lambda r: F.struct(

@@ -49,3 +49,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and go on from the stored rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input at least one partition per core.
+
+    A table with more input splits than cores is left alone, so large scans are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
