@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitloom.functions.text import stars
-from fitloom.session import checkpointed
+from fitloom.session import stored_once
 
 _POSITION_BITS = 33
 
@@ -19,7 +19,7 @@ def row_index(df: DataFrame, order: list[Column], name: str = "row_index") -> Da
     when a task is run again. End the order with a unique column: then even a value held by most
     rows is split over many partitions.
     """
-    placed = checkpointed(
+    placed = stored_once(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,10 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and go on from the stored rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored_once(df: DataFrame) -> DataFrame:
+    """Write df to a table in the shared folder and go on from there.
+
+    A written table is computed once and read by column; a lost executor re-reads it. All tables
+    of an application share one folder named after it, to be removed when it has ended.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/fitloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame) -> DataFrame:
