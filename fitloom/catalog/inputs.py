@@ -144,7 +144,8 @@ def _url(i: Column) -> Column:
 def _payload(df: DataFrame, source: str, body: Column, slug: Column | None = None,
              role: Column | None = None, url: Column | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
-    return df.select(
+    # Bodies name the document's source src: a payload has a source of its own.
+    return df.withColumnRenamed("source", "src").select(
         "doc_id", F.lit(source).alias("source"),
         (none if slug is None else slug).alias("slug"),
         (none if role is None else role).alias("role"),
@@ -178,10 +179,10 @@ def board_a_payloads(docs: DataFrame) -> DataFrame:
 
     return _payload(
         docs, P.BOARD_A,
-        F.when(F.col("lang") == "en", body(F.struct(F.col("source").alias("name"))))
-        .when(F.col("lang") == "fr", body(F.col("source")))
+        F.when(F.col("lang") == "en", body(F.struct(F.col("src").alias("name"))))
+        .when(F.col("lang") == "fr", body(F.col("src")))
         .otherwise(body(None)),
-        slug=F.col("source"),
+        slug=F.col("src"),
     )
 
 
@@ -192,14 +193,14 @@ def board_b_payloads(docs: DataFrame) -> DataFrame:
         F.when(l.contains("e"), F.col("text")).alias("descriptionPlain"),
         _url(i).alias("hostedUrl"),
     )
-    return _payload(docs, P.BOARD_B, F.to_json(F.transform(_lines(), job)), slug=F.col("source"))
+    return _payload(docs, P.BOARD_B, F.to_json(F.transform(_lines(), job)), slug=F.col("src"))
 
 
 def curated_json_payloads(docs: DataFrame) -> DataFrame:
     item = lambda l, i: F.struct(
         F.when(l.contains("the"), ~l.contains("that")).alias("active"),
         l.alias("title"),
-        F.when(F.col("lang") != "es", F.col("source")).alias("company_name"),
+        F.when(F.col("lang") != "es", F.col("src")).alias("company_name"),
         F.slice(F.split(l, " "), 1, F.pmod(i, F.lit(5))).alias("locations"),
         _url(i).alias("url"),
         F.when(l.contains("in"), F.lit("2026-01-15 08:00")).alias("date_posted"),
@@ -236,7 +237,7 @@ def card_payloads(docs: DataFrame) -> DataFrame:
         F.lit('<li class="x result-card"><h3 class="base-search-card__title"> <b>'), _escaped(l),
         F.lit("</b></h3>"),
         F.when(l.contains("e"), F.concat(
-            F.lit('<h4 class="base-search-card__subtitle"><a>'), F.col("source"), F.lit("</a></h4>"))).otherwise(""),
+            F.lit('<h4 class="base-search-card__subtitle"><a>'), F.col("src"), F.lit("</a></h4>"))).otherwise(""),
         F.when(l.contains("th"), F.concat(
             F.lit('<a class="base-card__full-link" href="'), _url(i), F.lit('">go</a>'))).otherwise(""),
         F.when(l.contains("in"), F.lit('<time datetime="2026-02-03T00:00">x</time>')).otherwise(""),
