@@ -333,7 +333,6 @@ WHERE s <> '' GROUP BY doc_id HAVING institution IS NOT NULL"""
 _ROLES = f"(VALUES {_values((r, i) for i, r in enumerate(I.ROLES))}) r(role, role_ord)"
 _L = f"({_lines('documents', 'doc_id', 'text', 'lang, source AS src, text,')})"
 _URL = "'https://x.example/' || doc_id || '/' || i"
-_ROLE_WORD = "list_has_any([w for w in string_split(lower(role), ' ')], [])"
 
 
 def _role_word(text: str) -> str:
@@ -606,6 +605,40 @@ SELECT resume_id, folder, file, count(*) AS n FROM {_documents(False)} GROUP BY
 
 # Composite runs
 
+_CONTENT_KEY = "md5(title || chr(1) || description || chr(1) || company)"
+ORACLE["discovery_matches"] = rf"""
+WITH own AS (
+  SELECT resume_id, role, rank - 1 AS own_ord FROM ({_ranked_roles('benchmark', 'item_id')}) WHERE rank <= 4
+), posts AS (SELECT *, {_CONTENT_KEY} AS cid FROM ({_ALL})),
+offered AS (
+  SELECT resume_id, own_ord AS place, p.* FROM posts p JOIN own ON own.role = p.role
+  UNION ALL SELECT item_id, p.role_ord, p.* FROM posts p, benchmark WHERE p.role IS NULL
+), firsts AS (
+  SELECT * FROM offered QUALIFY link = ''
+    OR row_number() OVER (PARTITION BY resume_id, link ORDER BY place, source_rank, seq, title, company) = 1
+), p AS (
+  SELECT cid, title, list_distinct({_tokens("title || ' ' || description || ' ' || company")}) AS toks
+  FROM (SELECT DISTINCT cid, title, description, company FROM posts)
+), r AS (SELECT DISTINCT item_id, unnest({_tokens('text')}) AS tok FROM benchmark),
+jt AS (
+  SELECT cid, tok FROM (SELECT cid, unnest(toks) AS tok FROM p) WHERE tok NOT IN {_list(_m.stop_words)}
+), tw AS (
+  SELECT DISTINCT cid, w FROM (SELECT cid, unnest(string_split_regex(lower(title), '\s+')) AS w FROM p)
+  WHERE w <> '' AND w NOT IN {_list(_m.stop_words + _m.title_noise)}
+), f AS (
+  SELECT p.cid, len(toks) AS n_tokens, coalesce(n, 0) AS n_job,
+    {' + '.join(f"CASE WHEN {_any('lower(title)', g)} THEN 2 ELSE 0 END" for g in _m.title_signals)} AS bonus
+  FROM p LEFT JOIN (SELECT cid, count(*) AS n FROM jt GROUP BY ALL) USING (cid)
+), c AS (
+  SELECT jt.cid, item_id, count(*) AS nc, count(*) FILTER (jt.tok IN {_list(_m.tech_terms)}) AS nt, count(tw.w) AS nw
+  FROM jt JOIN r ON jt.tok = r.tok LEFT JOIN tw ON tw.cid = jt.cid AND tw.w = jt.tok GROUP BY ALL
+)
+SELECT * FROM (
+  SELECT resume_id, link, role, source, company, CASE WHEN n_tokens = 0 THEN 3 ELSE greatest(1, least(10, round_even(
+      coalesce(nc, 0)::DOUBLE / greatest(n_job, 1) * 3 + coalesce(nt, 0) * 0.5::DOUBLE + bonus
+      + least(coalesce(nw, 0), 3), 0)))::INT END AS match_score, md5(title) AS title_hash
+  FROM firsts JOIN f USING (cid) LEFT JOIN c ON c.cid = firsts.cid AND c.item_id = resume_id
+) WHERE match_score >= 5"""
 ORACLE["stream_ingest"] = """
 SELECT DISTINCT md5(text) AS link FROM documents
 WHERE text NOT IN (SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
