@@ -88,13 +88,9 @@ def lexicon_hits(c: Column, words: Iterable[str], mode: str = "substring") -> Co
     ordered = by_length(words)
     if mode == "token":
         return F.array_intersect(words_array(ordered), token_set(c))
-    if not ordered:
-        return words_array(())
     return let(
         F.lower(c),
-        lambda low: F.array_compact(
-            F.array(*[F.when(low.contains(w.lower()), F.lit(w)) for w in ordered])
-        ),
+        lambda low: F.filter(words_array(ordered), lambda w: F.contains(low, F.lower(w))),
     )
 
 
