@@ -172,8 +172,10 @@ _SHEET_SCHEMA = ", ".join(
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.schema(_SHEET_SCHEMA).option("header", True).option("multiLine", True).option(
-            "escape", '"').option("emptyValue", "").option("nullValue", "\u0000").csv(path)
+        return (
+            spark.read.schema(_SHEET_SCHEMA).option("header", True).option("multiLine", True)
+            .option("escape", '"').csv(path)
+        )
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -185,9 +187,7 @@ def append_sheet(spark: SparkSession, path: str, rows: DataFrame, as_of: Column)
     added = Observation()
     sheet_rows(rows, read_sheet(spark, path), as_of).observe(
         added, F.count(F.lit(1)).alias("n")
-    ).write.mode("append").option("header", True).option("escape", '"').option(
-        "emptyValue", ""
-    ).csv(path)
+    ).write.mode("append").option("header", True).option("escape", '"').csv(path)
     return added.get["n"]
 
 

@@ -1,0 +1,106 @@
+import pytest
+from pyspark.sql import functions as F
+
+from fitloom.operators import dedup, store
+
+ROW = ("title string, company string, location string, type string, salary string, description string, "
+       "link string, date_posted string, source string, match_score int, seq long")
+
+
+def rows(spark, *items):
+    full = [
+        (i.get("title", "T"), i.get("company", "C"), i.get("location"), i.get("type"), None, None, i.get("link", ""),
+         i.get("date_posted"), i.get("source"), i.get("match_score"), n) for n, i in enumerate(items)]
+    return spark.createDataFrame(full, ROW)
+
+
+def day():
+    return F.lit("2026-03-12").cast("date")
+
+
+def load(spark, path, df):
+    return store.append_jobs(spark, path, df, [F.col("seq")], day(), F.lit("2026-03-12 10:00:00"))
+
+
+def test_load_twice_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "jobs")
+    df = rows(spark, dict(link="a"), dict(link="a", title="later"), dict(link="b"), dict(), dict(),
+              dict(link="x", company=None), dict(link="y", title=None))
+    first = load(spark, path, df)
+    assert (first.incoming, first.inserted, first.quarantined, first.skipped) == (7, 3, 2, 2)
+    again = load(spark, path, df)
+    assert (again.inserted, again.skipped) == (0, 5)
+    third = load(spark, path, rows(spark, dict(link="b"), dict(link="c")))
+    assert third.inserted == 1
+    stored = store.read_jobs(spark, path)
+    assert sorted(r.link for r in stored.collect()) == ["", "a", "b", "c"]
+    one = stored.where("link = 'a'").first()
+    assert (one.title, one.location, one.job_type, one.match_score, one.application_status, one.date_found) == (
+        "T", "", "Internship", 0, "Not Applied", "2026-03-12")
+
+
+def test_quarantine_names_the_reason(spark):
+    df = rows(spark, dict(company=None), dict(title=None), dict())
+    assert sorted(r.reason for r in store.quarantine(df).collect()) == ["company is null", "title is null"]
+
+
+def test_blank_modes(spark):
+    df = rows(spark, dict(link=""), dict(link=None), dict(link="a"), dict(link="a"))
+    stored = rows(spark, dict(link=""), dict(link="z")).select("link")
+    n = {m: dedup.select_new(df, stored, [F.col("seq")], blank=m).count() for m in dedup.BLANK_MODES}
+    assert n == {"keep_blank": 3, "one_blank": 1, "anti_only": 4}
+    assert dedup.first_per_key(df, "link", [F.col("seq")]).count() == 3
+    with pytest.raises(ValueError):
+        dedup.first_per_key(df, "link", [F.col("seq")], blank="other")
+
+
+def test_first_per_key_prunes_before_the_shuffle(spark):
+    plan = dedup.first_per_key(rows(spark, dict(link="a")), "link", [F.col("seq")])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def jobs(spark, *items):
+    return spark.createDataFrame(items, "link string, application_status string, match_score int, date_found string")
+
+
+def test_stats(spark):
+    got = store.stats(jobs(spark, ("a", "Applied", 7, ""), ("b", "Offer", 0, ""), ("c", "Applied", 4, ""))).first()
+    assert (got.total, got.by_status, got.avg_score) == (3, {"Applied": 2, "Offer": 1}, 5.5)
+    none = store.stats(jobs(spark, ("a", "Applied", 0, ""))).first()
+    assert none.avg_score == 0.0
+    empty = store.stats(spark.createDataFrame([], "application_status string, match_score int")).first()
+    assert (empty.total, empty.by_status, empty.avg_score) == (0, {}, 0.0)
+
+
+def test_order(spark):
+    df = jobs(spark, ("a", "x", 5, "2026-01-01"), ("b", "x", 9, "2025-01-01"), ("c", "x", 5, "2026-02-01"))
+    assert [r.link for r in store.ordered_jobs(df, ["link"]).collect()] == ["b", "c", "a"]
+
+
+def test_status_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    def update(*u, **k):
+        store.record_status(spark.createDataFrame(u, "link string, status string, ts string").withColumn("ts", F.to_timestamp("ts")), path, **k)
+    update(("a", "Applied", "2026-01-01 00:00:00"), ("a", "Offer", "2026-01-03 00:00:00"))
+    update(("a", "Rejected", "2026-01-02 00:00:00"), ("b", "Lost", "2026-01-02 00:00:00"), strict=False)
+    with pytest.raises(Exception, match="Invalid status"):
+        update(("b", "Lost", "2026-01-02 00:00:00"))
+    df = jobs(spark, ("a", "Not Applied", 1, ""), ("a", "Not Applied", 2, ""), ("b", "Not Applied", 3, ""))
+    got = store.latest_status(df, spark.read.parquet(path))
+    assert got.columns == df.columns
+    assert sorted((r.match_score, r.application_status) for r in got.collect()) == [
+        (1, "Offer"), (2, "Offer"), (3, "Not Applied")]
+
+
+def test_sheet(spark, tmp_path):
+    path = str(tmp_path / "sheet")
+    df = rows(spark, dict(link="a", title='say "hi", you\nthere', match_score=7), dict(link="a"), dict(link=""), dict(link="b", company=None))
+    assert store.append_sheet(spark, path, df, day()) == 4
+    assert store.append_sheet(spark, path, df, day()) == 1
+    sheet = store.read_sheet(spark, path)
+    assert sheet.columns == list(store.schemas.SHEET_COLUMNS)
+    got = sorted((r["Job Link"], r["Company"], r["Match Score"], r["Status"], r["Title"]) for r in sheet.collect())
+    assert got[0] == ("", "C", 0, "", "T") and got[1] == got[0]
+    assert ("a", "C", 7, "", 'say "hi", you\nthere') in got and ("b", "Unknown", 0, "", "T") in got
+    off = store.off_domain_statuses(sheet.withColumn("Status", F.lit("Maybe")))
+    assert off.count() == 5 and store.off_domain_statuses(sheet).count() == 0
