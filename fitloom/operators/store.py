@@ -174,7 +174,7 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     try:
         return (
             spark.read.schema(_SHEET_SCHEMA).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path)
+            .option("escape", '"').option("nullValue", "\u0000").csv(path)
         )
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
