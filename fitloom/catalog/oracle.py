@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from fitloom.catalog import inputs as I
 from fitloom.functions import lexicons as X
-from fitloom.operators import lines as L
 from fitloom.operators import render as D
 
 
