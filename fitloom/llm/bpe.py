@@ -18,13 +18,14 @@ import re
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that the younger of a cache's two generations holds.
-CACHE = 150_000
+#: Entries that the younger of the cache's two generations holds.
+CACHE = 400_000
 #: Matches in one recursive query, and bytes from which a match counts as long.
 QUERY_WORDS, LONG = 40_000, 200
 
@@ -102,8 +103,9 @@ class Codec:
     def __init__(self, rank_path: str, pattern: str):
         ranks = read_ranks(rank_path)
         self.split = regex.compile(pattern).findall
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        self.pieces, self.chunks = Recent(CACHE), Recent(CACHE)
+        self.letters_match = self.split("Ab cé, d") == ["Ab", " cé", ",", " d"]  # as in the usual pattern
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.seen = Recent(CACHE)  # chunks and matches alike: a match cut by itself is one match
         pairs = [(ranks[t[:i]] * 65536 + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t))
                  if t[:i] in ranks and t[i:] in ranks]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int64())})
@@ -114,8 +116,13 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
             self.db.unregister("rows")
 
-    def begin(self, words: list[int], toks: list[list[int]]) -> None:
-        self.db.register("start", pa.table({"word": pa.array(words, pa.int32()), "toks": pa.array(toks, pa.list_(pa.int32()))}))
+    def begin(self, words: list[int], toks: pa.Array) -> None:
+        self.db.register("start", pa.table({"word": pa.array(words, pa.int32()), "toks": toks}))
+
+    def byte_tokens(self, raw: list[bytes]) -> pa.Array:
+        """Lists of the tokens of single bytes."""
+        ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]))
 
     def merge(self, words: list[str]) -> list[tuple[str, bytes]]:
         """Token ids, joined by one space, and decoded bytes of each distinct match."""
@@ -131,12 +138,12 @@ class Codec:
                     part.append(chosen[at])
                     size += len(raw[chosen[at]])
                     at += 1
-                self.begin(part, [[self.byte_ids[b] for b in raw[i]] for i in part])
+                self.begin(part, self.byte_tokens([raw[i] for i in part]))
                 query = step
                 if step is _STEP_LONG:
                     # A recursion keeps the states of its rounds, so a long match goes through several short ones.
                     while (rows := self.db.execute(_STEP_LONG).fetchall()) and max(r for *_, r in rows) > 0:
-                        self.begin([w for w, *_ in rows], [t for _, t, _ in rows])
+                        self.begin([w for w, *_ in rows], pa.array([t for _, t, _ in rows], pa.list_(pa.int32())))
                     query = "WITH step AS (SELECT * FROM start)"
                 for word, ids, text in self.db.execute(query + _TAIL).fetchall():
                     out[word] = (ids, bytes.fromhex(text))
@@ -145,16 +152,19 @@ class Codec:
     def learn(self, chunks: list[str]) -> dict[str, tuple[str, bytes]]:
         """(ids joined by one space, bytes) of chunks that the cache lacks."""
         cut = {c: self.matches(c) for c in chunks}
-        known = {p: self.pieces.get(p) for pieces in cut.values() for p in pieces}
+        known = {p: self.seen.get(p) for pieces in cut.values() for p in pieces}
         new = [p for p, v in known.items() if v is None]
         for p, value in zip(new, self.merge(new)):
             known[p] = value
-            self.pieces.put(p, value)
+            self.seen.put(p, value)
         return {c: known[pieces[0]] if len(pieces) == 1 else
                 (" ".join([known[p][0] for p in pieces]), b"".join([known[p][1] for p in pieces])) for c, pieces in cut.items()}
 
     def matches(self, chunk: str) -> list[str]:
-        """Matches of the split pattern in a chunk."""
+        """Matches of the split pattern in a chunk; a word of letters, and one with a mark behind, need no search."""
+        word, mark = (chunk[:-1], chunk[-1:]) if chunk[-1] in ".,!?;:" else (chunk, "")
+        if self.letters_match and (word.isalpha() or word[:1] == " " and word[1:].isalpha()):
+            return [word, mark] if mark else [word]
         return self.split(chunk)
 
     def encode(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
@@ -162,13 +172,13 @@ class Codec:
         cut = [chunks_of(t) for t in texts]
         ids, raw, new = {}, {}, []
         for c in set().union(*cut):
-            value = self.chunks.get(c)
+            value = self.seen.get(c)
             if value is None:
                 new.append(c)
             else:
                 ids[c], raw[c] = value
         for c, value in self.learn(new).items():
-            self.chunks.put(c, value)
+            self.seen.put(c, value)
             ids[c], raw[c] = value
         out = []
         for chunks in cut:
