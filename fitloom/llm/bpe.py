@@ -30,15 +30,15 @@ CACHE = 400_000
 QUERY_WORDS, LONG = 40_000, 200
 
 _STEP = """
-WITH RECURSIVE step(word, toks) USING KEY (word) AS (
+WITH RECURSIVE states(word, toks) AS (
   SELECT word, toks FROM start
-  UNION
+  UNION ALL
   SELECT s.word, list_concat(list_append(toks[:(best & 16777215) - 1], (best >> 24)::INT), toks[(best & 16777215) + 2:])
-  FROM step s JOIN (
+  FROM states s JOIN (
     SELECT word, min(rank * 16777216 + p) AS best
-    FROM (SELECT word, unnest(range(1, len(toks))) AS p, unnest(toks[:-2])::BIGINT * 65536 + unnest(toks[2:]) AS pair FROM step)
+    FROM (SELECT word, unnest(range(1, len(toks))) AS p, unnest(toks[:-2])::BIGINT * 65536 + unnest(toks[2:]) AS pair FROM states)
     JOIN merges USING (pair) GROUP BY word) b USING (word)
-)"""
+), step AS (SELECT word, arg_min(toks, len(toks)) AS toks FROM states GROUP BY word)"""
 _STEP_LONG = """
 WITH RECURSIVE step(word, toks, round) USING KEY (word) AS (
   SELECT word, toks, 0 FROM start
