@@ -55,7 +55,7 @@ def candidates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = lambda c: F.substring(c, 1, 64)  # noqa: E731  context of a candidate, not the text that is scanned
     odd = (
         words.where(F.octet_length("word") >= least).where(F.col("word").rlike("[0-9]"))
-        .select("doc_id", "_d", "_k", "text", "word", F.concat_ws(" ", short(near(-3)), short(near(-2)), short(near(-1))).alias("before"),
+        .select("doc_id", "_d", "_k", "text", "at", "word", F.concat_ws(" ", short(near(-3)), short(near(-2)), short(near(-1))).alias("before"),
                 short(near(1)).alias("after"), F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("run"))
     )
     # name=value and name:value: the value is the candidate; marks at the edges belong to the sentence.
@@ -64,8 +64,10 @@ def candidates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return (
         named.withColumn("start", F.expr("instr(text, value)") - 1)
         .withColumn("n", ((F.length("text") - F.length(F.replace("text", F.col("value"), F.lit("")))) / F.length("value")).cast("long"))
+        # Of several places the first one by a name of a secret tells the context, else the first.
+        .withColumn("unnamed", ~F.concat_ws(" ", "before", F.substring("word", 1, 256)).rlike(_names(SECRET_NAMES)))
         .groupBy("_d", "_k", "value")
-        .agg(F.min(F.struct("doc_id", "start", "n", "word", "before", "after")).alias("m"))
+        .agg(F.min(F.struct("unnamed", "at", "doc_id", "start", "n", "word", "before", "after")).alias("m"))
         .select("m.doc_id", "_d", "_k", "value", F.substring("m.word", 1, 256).alias("word"), "m.before", "m.after", "m.start", "m.n")
     )
 
