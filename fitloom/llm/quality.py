@@ -84,28 +84,26 @@ class Vectors:
 
 def learn_vectors(texts: list[str]) -> Vectors:
     """Random indexing over the sample's words; the VOCABULARY most frequent get vectors."""
-    tokens = [[t.lower() for t in _TOKEN(x or "")] for x in texts]
-    counts = Counter(t for x in tokens for t in x)
+    counts: Counter = Counter()
+    for x in texts:
+        counts.update(t.lower() for t in _TOKEN(x or ""))
     words = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
     index = np.array([index_vector(w) for w in words], np.float32).reshape(len(words), DIM)
-    gap = [-1] * NEIGHBOURS
-    flat = np.array([i for x in tokens for i in (*(words.get(t, -1) for t in x), *gap)], np.int64)
-    pairs: Counter = Counter()
+    gap = np.full(NEIGHBOURS, -1, np.int32)
+    lines = [np.fromiter((words.get(t.lower(), -1) for t in _TOKEN(x or "")), np.int32) for x in texts]
+    flat = np.concatenate([gap, *(part for line in lines for part in (line, gap))]).astype(np.int64)
     context = np.zeros((len(words), DIM), np.float64)
     for off in range(1, NEIGHBOURS + 1):
-        a, b = flat[:-off], flat[off:]
-        ok = (a >= 0) & (b >= 0)
-        joint, k = np.unique(a[ok] * len(words) + b[ok], return_counts=True)
+        left, right = flat[:-off], flat[off:]
+        ok = (left >= 0) & (right >= 0)
+        joint, k = np.unique(left[ok] * max(len(words), 1) + right[ok], return_counts=True)
         left, right = joint // max(len(words), 1), joint % max(len(words), 1)
         for x, y in ((left, right), (right, left)):
             order = np.argsort(x, kind="stable")
-            x, y, w = x[order], y[order], k[order]
-            starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.array([], int)
-            for lo in range(0, len(starts), 1000):
-                part = starts[lo:lo + 1000]
-                end = starts[lo + 1000] if lo + 1000 < len(starts) else len(x)
-                context[x[part]] += np.add.reduceat(index[y[part[0]:end]] * w[part[0]:end, None], part - part[0], axis=0)
-    del pairs
+            for lo in range(0, len(order), 20_000):  # a bounded block of neighbours at a time
+                part = order[lo:lo + 20_000]
+                heads = np.flatnonzero(np.append(True, x[part][1:] != x[part][:-1]))
+                context[x[part][heads]] += np.add.reduceat(index[y[part]] * k[part, None], heads, axis=0)
     length = np.linalg.norm(context, axis=1, keepdims=True)
     return Vectors(words, (context / np.maximum(length, 1e-9)).astype(np.float32) + index / np.sqrt(8).astype(np.float32))
 
