@@ -38,6 +38,13 @@ def row_index(df: DataFrame, order: list[Column], name: str = "row_index") -> Da
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that lets nulls meet; the key columns come from the left."""
+    named = right.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in right.columns if c not in on])
+    meets = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return left.join(named, meets, how).drop(*[f"_on_{c}" for c in on])
+
+
 def score_breaks(scored: DataFrame, order: list[str], group: list[str] | None = None) -> DataFrame:
     """Ranked list with a running number and a header row mark wherever the score changes.
 
@@ -52,11 +59,11 @@ def score_breaks(scored: DataFrame, order: list[str], group: list[str] | None =
     )
     if group:
         firsts = starts.groupBy(*group).agg(F.min("_start").alias("_first"))
-        starts = starts.join(firsts, group)
+        starts = join_null_safe(starts, firsts, group)
     else:
         starts = starts.withColumn("_first", F.lit(1))
     return (
-        numbered.join(starts, [*group, "match_score"])
+        join_null_safe(numbered, starts, [*group, "match_score"])
         .withColumn("position", F.col("_i") - F.col("_first") + 1)
         .withColumn("is_break", F.col("_i") == F.col("_start"))
         .withColumn("header", F.when(F.col("is_break"), stars(F.col("match_score"))))
@@ -99,4 +106,4 @@ def open_units(df: DataFrame, group: list[str], unit: str, k: int) -> DataFrame:
 
 def cap_at_boundary(df: DataFrame, group: list[str], unit: str, k: int) -> DataFrame:
     """Group-boundary cap: whole units until k rows are reached."""
-    return df.join(open_units(df, group, unit, k), [*group, unit], "left_semi")
+    return join_null_safe(df, open_units(df, group, unit, k), [*group, unit], "left_semi")

@@ -39,3 +39,10 @@ def test_top_per_group_prunes_before_the_shuffle(spark):
     df = spark.range(10).select((F.col("id") % 2).alias("g"), "id")
     plan = R.top_per_group(df, ["g"], [F.col("id").asc()], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_null_groups_and_scores_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 3, 1), (None, None, 2), ("a", 3, 3)], "g string, match_score int, i int")
+    assert R.score_breaks(df, ["i"], ["g"]).count() == 3
+    units = spark.createDataFrame([("a", None), ("a", 1)], "g string, u int")
+    assert R.cap_at_boundary(units, ["g"], "u", 5).count() == 2

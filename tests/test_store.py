@@ -104,3 +104,12 @@ def test_sheet(spark, tmp_path):
     assert ("a", "C", 7, "", 'say "hi", you\nthere') in got and ("b", "Unknown", 0, "", "T") in got
     off = store.off_domain_statuses(sheet.withColumn("Status", F.lit("Maybe")))
     assert off.count() == 5 and store.off_domain_statuses(sheet).count() == 0
+
+
+def test_first_load_without_rows_to_store(spark, tmp_path):
+    path = str(tmp_path / "jobs")
+    none = load(spark, path, rows(spark, dict(link="a")).limit(0))
+    assert (none.incoming, none.inserted, none.quarantined) == (0, 0, 0)
+    bad = load(spark, path, rows(spark, dict(link="a", company=None)))
+    assert (bad.incoming, bad.inserted, bad.quarantined) == (1, 0, 1)
+    assert load(spark, path, rows(spark, dict(link="a"))).inserted == 1 and store.read_jobs(spark, path).count() == 1
