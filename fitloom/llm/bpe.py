@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that the younger of the cache's two generations holds.
-CACHE = 400_000
+CACHE = 150_000
 #: Matches in one recursive query, and bytes from which a match counts as long.
-QUERY_WORDS, LONG = 40_000, 200
+QUERY_WORDS, LONG = 16_000, 200
 
 _STEP = """
 WITH RECURSIVE states(word, toks) AS (
@@ -110,7 +110,7 @@ class Codec:
                  if t[:i] in ranks and t[i:] in ranks]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int64())})
         vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("rows", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
@@ -211,7 +211,7 @@ def codec(rank_path: str, pattern: str) -> Codec:
 
 
 def encode(documents: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           digests_only: bool = False, slice_bytes: int = 1 << 22) -> DataFrame:
+           digests_only: bool = False, slice_bytes: int = 1 << 21) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and unless digests_only ids and decoded (binary).
 
     rank_path must be readable on every executor, as installed vocabularies are. Rows are encoded in
