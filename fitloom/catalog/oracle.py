@@ -508,6 +508,10 @@ ORACLE["load_new_anti"] = f"""
 SELECT {_DAY} AS date_found, company, title, location, 'Internship' AS job_type, match_score,
   'Not Applied' AS application_status, md5(link) AS link_hash, source, '' AS description
 FROM ({_KEYED}) WHERE link NOT IN ({_STORED}) QUALIFY row_number() OVER (PARTITION BY link ORDER BY doc_id) = 1"""
+ORACLE["load_per_resume"] = """
+SELECT o_custkey::VARCHAR AS resume_id, o_orderpriority AS link, 'House of ' || o_orderstatus AS company,
+  (o_orderkey % 10)::INT AS match_score, strftime(o_orderdate, '%Y-%m-%d') AS date_found, 'Internship' AS job_type
+FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) = 1"""
 ORACLE["exists_semi"] = f"SELECT doc_id FROM ({_KEYED}) WHERE link <> '' AND link IN ({_STORED})"
 ORACLE["sheet_append_rows"] = f"""
 SELECT {_DAY} AS "Date Found", company AS "Company", title AS "Title", location AS "Location", 'Internship' AS "Type",

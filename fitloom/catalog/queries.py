@@ -11,6 +11,7 @@ from fitloom.catalog import inputs as I
 from fitloom.catalog.inputs import day, table
 from fitloom.functions import markup
 from fitloom.functions import text as X
+from fitloom.functions.lexicons import LIVE_LIMITS, SEARCH_ROLES
 from fitloom.operators import dedup, lines as L, matching as M, ranking as R, render, store
 from fitloom.operators.roles import infer_roles, rule_matches
 from fitloom.plans import discovery, search
@@ -228,14 +229,27 @@ def _hashed(df):
     return df.withColumn("description", F.md5("description")).select(*_POSTING)
 
 
+def _cards(raw):
+    return P.card_postings(raw, I.ROLES, day(), LIVE_LIMITS.per_source)
+
+
+def _thread(raw):
+    k = LIVE_LIMITS
+    return P.thread_postings(raw, I.ROLES, day(), k.children, k.per_source, I.LEVEL_WORDS, k.description)
+
+
+def _curated(raw):
+    return P.curated_postings(raw, day(), LIVE_LIMITS.curated, LIVE_LIMITS.places)
+
+
 @query
 def card_posts(spark, d):
-    return _hashed(P.card_postings(I.card_payloads(_docs(spark, d)), I.ROLES, day()))
+    return _hashed(_cards(I.card_payloads(_docs(spark, d))))
 
 
 @query
 def thread_posts(spark, d):
-    return _hashed(P.thread_postings(I.thread_payloads(_docs(spark, d)), I.ROLES, day(), levels=I.LEVEL_WORDS))
+    return _hashed(_thread(I.thread_payloads(_docs(spark, d))))
 
 
 def _board_a(raw):
@@ -243,7 +257,7 @@ def _board_a(raw):
 
 
 def _board_b(raw):
-    return P.board_b_postings(raw, I.ROLES, day(), I.BOARDS, I.BOARD_CAP, I.MUST)
+    return P.board_b_postings(raw, I.ROLES, day(), I.BOARDS, I.BOARD_CAP, I.MUST, LIVE_LIMITS.description)
 
 
 @query
@@ -258,30 +272,29 @@ def board_array_posts(spark, d):
 
 @query
 def curated_json_posts(spark, d):
-    return _hashed(P.curated_postings(I.curated_json_payloads(_docs(spark, d)), day()))
+    return _hashed(_curated(I.curated_json_payloads(_docs(spark, d))))
 
 
 @query
 def markdown_table_state(spark, d):
     return I.table_text(_docs(spark, d)).select(
-        "doc_id", F.posexplode(P.table_items(F.col("markdown"))).alias("ord", "it")
+        "doc_id", F.posexplode(P.table_items(F.col("markdown"), LIVE_LIMITS.curated)).alias("ord", "it")
     ).select("doc_id", "ord", "it.company", "it.title", "it.location", "it.link")
 
 
 def _postings(docs):
     return (
-        P.card_postings(I.card_payloads(docs), I.ROLES, day())
-        .unionByName(P.thread_postings(I.thread_payloads(docs), I.ROLES, day(), levels=I.LEVEL_WORDS))
+        _cards(I.card_payloads(docs))
+        .unionByName(_thread(I.thread_payloads(docs)))
         .unionByName(_board_a(I.board_a_payloads(docs)))
         .unionByName(_board_b(I.board_b_payloads(docs)))
-        .unionByName(P.curated_postings(I.curated_json_payloads(docs), day()))
+        .unionByName(_curated(I.curated_json_payloads(docs)))
     )
 
 
 @query
 def collect_postings(spark, d):
-    order = [F.col(c) for c in (*search.ARRIVAL, "title", "company", "location")]
-    return _hashed(dedup.first_per_key(_postings(_docs(spark, d)), "link", order)).select(
+    return _hashed(dedup.first_per_key(_postings(_docs(spark, d)), "link", search.arrival_order())).select(
         "link", "source", "role", "title", "company", "location", "description", "date_posted"
     )
 
@@ -424,6 +437,22 @@ def load_new_anti(spark, d):
     )
 
 
+@query
+def load_per_resume(spark, d):
+    """Matches of all resumes loaded into an empty jobs table, and once more, then read back."""
+    matches = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("resume_id"), F.col("o_orderpriority").alias("link"), "o_orderkey",
+        F.concat(F.lit("House of "), "o_orderstatus").alias("company"), F.col("o_orderpriority").alias("title"),
+        F.lit("").alias("location"), F.lit(None).cast("string").alias("type"), F.lit("").alias("salary"),
+        F.lit("").alias("description"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_posted"),
+        F.lit("orders").alias("source"), (F.col("o_orderkey") % 10).alias("match_score"),
+    )
+    path = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    for _ in range(2):
+        store.append_jobs(spark, path, matches, [F.col("o_orderkey")], day(), F.lit("2026-03-12 00:00:00"))
+    return store.read_jobs(spark, path).select("resume_id", "link", "company", "match_score", "date_found", "job_type")
+
+
 @query
 def exists_semi(spark, d):
     rows, stored = I.keyed_postings(_docs(spark, d)), I.keyed_postings(I.labelled(spark, d))
@@ -563,6 +592,7 @@ def discovery_matches(spark, d):
     found = discovery.run(
         I.resumes(spark, d), _postings(_docs(spark, d)), day(), rules=I.ROLE_RULES,
         match_terms=I.MATCH_TERMS, profile_terms=I.PROFILE_TERMS, with_report=False,
+        search_cap=SEARCH_ROLES,
     )
     return found.matches.select(
         "resume_id", "link", "role", "source", "company", "match_score", F.md5("title").alias("title_hash")

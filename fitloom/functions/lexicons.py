@@ -134,6 +134,8 @@ MIN_SCORE = 5
 SOURCE_CAP = 30
 CURATED_CAP = 60
 THREAD_CHILDREN = 200
+DESCRIPTION_LENGTH = 500
+PLACES = 3
 SEARCH_ROLES = 4
 ROLE_CAP = 8
 # End of fixed values.
@@ -206,6 +208,23 @@ class MatchTerms:
     title_noise: tuple[str, ...] = TITLE_NOISE
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What the readers leave out of landed payloads; by default nothing, and every board is read."""
+
+    per_source: int | None = None  # postings of a role and source
+    curated: int | None = None  # items of a curated list
+    children: int | None = None  # comments of a thread that are looked at
+    boards_a: tuple[str, ...] | None = None
+    boards_b: tuple[str, ...] | None = None
+    description: int | None = None  # characters of a description
+    places: int | None = None  # places of a curated item
+
+
+#: The limits of a run against live sites.
+LIVE_LIMITS = Limits(SOURCE_CAP, CURATED_CAP, THREAD_CHILDREN, BOARDS_A, BOARDS_B, DESCRIPTION_LENGTH, PLACES)
+
+
 @dataclass(frozen=True)
 class ProfileTerms:
     """The word lists behind one parsed profile."""

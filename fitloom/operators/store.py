@@ -48,9 +48,16 @@ def quarantine(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", bad_row_reason()).where("reason is not null")
 
 
+def by_resume(rows: DataFrame) -> DataFrame:
+    """Rows with a resume_id text; blank where the resume is null or the rows know none (a store of one resume)."""
+    known = F.col("resume_id").cast("string") if "resume_id" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("resume_id", F.coalesce(known, F.lit("")))
+
+
 def as_jobs(rows: DataFrame, as_of: Column, created_at: Column) -> DataFrame:
     """Postings with a score as rows of the jobs table, missing fields set to their defaults."""
-    return rows.select(
+    return by_resume(rows).select(
+        "resume_id",
         F.coalesce("date_posted", F.date_format(as_of, "yyyy-MM-dd")).alias("date_found"),
         "company",
         "title",
@@ -78,17 +85,17 @@ def _observed(seen: Observation, name: str) -> int:
 
 def append_jobs(spark: SparkSession, path: str, rows: DataFrame, order: list[Column],
                 as_of: Column, created_at: Column) -> LoadCounts:
-    """Append the rows whose link is not stored yet, in one write.
+    """Append the rows whose link is not stored yet for their resume, in one write.
 
     The counts are observed while that write runs; nothing is computed twice.
     """
     seen, stored = Observation(), Observation()
-    checked = rows.observe(
+    checked = by_resume(rows).observe(
         seen,
         F.count(F.lit(1)).alias("n"),
         F.count_if(bad_row_reason().isNotNull()).alias("bad"),
     ).where(bad_row_reason().isNull())
-    new = dedup.select_new(checked, read_jobs(spark, path), order)
+    new = dedup.select_new(checked, by_resume(read_jobs(spark, path)), order, group=["resume_id"])
     as_jobs(new, as_of, created_at).observe(stored, F.count(F.lit(1)).alias("n")).write.mode(
         "append"
     ).parquet(path)
@@ -111,27 +118,28 @@ def checked_status(status: Column, allowed=JOB_STATUSES) -> Column:
 
 
 def record_status(updates: DataFrame, path: str, strict: bool = True) -> None:
-    """Append (link, status, ts) updates to the status log."""
+    """Append (resume_id, link, status, ts) updates to the status log."""
     if strict:
         updates = updates.withColumn("status", checked_status(F.col("status")))
     else:
         updates = updates.where(valid_status(F.col("status")))
-    updates.select("link", "status", "ts").write.mode("append").parquet(path)
+    by_resume(updates).select("resume_id", "link", "status", "ts").write.mode("append").parquet(path)
 
 
-def latest_per_key(log: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+def latest_per_key(log: DataFrame, key: list[str], value: str, order: list[str]) -> DataFrame:
     """Last value per key; tasks keep one row per key before the shuffle."""
-    return log.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+    return log.groupBy(*key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
 def latest_status(jobs: DataFrame, log: DataFrame) -> DataFrame:
-    """Jobs with the last recorded status of their link; all rows of a link change."""
-    last = latest_per_key(log, "link", "status", ["ts", "status"])
+    """Jobs with the last status recorded for their resume and link; all rows of that key change."""
+    key = ["resume_id", "link"]
+    last = latest_per_key(by_resume(log), key, "status", ["ts", "status"])
     columns = [
         F.coalesce("status", "application_status").alias(c) if c == "application_status" else F.col(c)
         for c in jobs.columns
     ]
-    return jobs.join(last, "link", "left").select(*columns)
+    return by_resume(jobs).join(last, key, "left").select(*columns)
 
 
 def status_counts(jobs: DataFrame) -> DataFrame:
@@ -158,12 +166,17 @@ def stats(jobs: DataFrame) -> DataFrame:
 
 
 def sheet_rows(rows: DataFrame, sheet: DataFrame, as_of: Column) -> DataFrame:
-    """New tracker rows: links in the sheet are left out, blank and repeated links stay."""
-    known = sheet.select(F.col("`Job Link`").alias("link"))
-    new = dedup.without_existing(
-        rows.withColumn("link", F.coalesce("link", F.lit(""))), dedup.stored_keys(known, "link"), "link"
-    )
+    """New tracker rows: a resume's links in the sheet are left out, blank and repeated links stay.
+
+    Rows of several resumes name theirs in a first column, Resume.
+    """
+    group = ["resume_id"]
+    resume = F.col("Resume") if "Resume" in sheet.columns else F.lit("")
+    known = by_resume(sheet.select(resume.alias("resume_id"), F.col("`Job Link`").alias("link")))
+    new = dedup.select_new(by_resume(rows), known, [], blank="anti_only", group=group)
+    named = [F.col("resume_id").alias("Resume")] if "resume_id" in rows.columns else []
     return new.select(
+        *named,
         F.coalesce("date_posted", F.date_format(as_of, "yyyy-MM-dd")).alias("Date Found"),
         F.coalesce("company", F.lit("Unknown")).alias("Company"),
         F.coalesce("title", F.lit("Unknown")).alias("Title"),
@@ -177,16 +190,14 @@ def sheet_rows(rows: DataFrame, sheet: DataFrame, as_of: Column) -> DataFrame:
 
 
 _SHEET_SCHEMA = ", ".join(
-    f"`{c}` {'int' if c == 'Match Score' else 'string'}" for c in schemas.SHEET_COLUMNS
+    f"`{c}` {'int' if c == 'Match Score' else 'string'}" for c in ("Resume", *schemas.SHEET_COLUMNS)
 )
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """The stored tracker; an absent one reads as empty."""
     try:
-        return (
-            spark.read.schema(_SHEET_SCHEMA).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("nullValue", "\u0000").csv(path)
-        )
+        return spark.read.schema(_SHEET_SCHEMA).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -194,12 +205,17 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_sheet(spark: SparkSession, path: str, rows: DataFrame, as_of: Column) -> int:
-    """Append new tracker rows as CSV with a header and return how many were added."""
+    """Append new tracker rows and return how many were added."""
     added = Observation()
-    sheet_rows(rows, read_sheet(spark, path), as_of).observe(
+    sheet_rows(by_resume(rows), read_sheet(spark, path), as_of).observe(
         added, F.count(F.lit(1)).alias("n")
-    ).write.mode("append").option("header", True).option("escape", '"').csv(path)
-    return added.get["n"]
+    ).write.mode("append").parquet(path)
+    return _observed(added, "n")
+
+
+def export_sheet(sheet: DataFrame, path: str) -> None:
+    """Write tracker rows as CSV files with a header, as spreadsheets read them."""
+    sheet.write.option("header", True).option("escape", '"').csv(path)
 
 
 def off_domain_statuses(sheet: DataFrame, allowed=SHEET_STATUSES) -> DataFrame:

@@ -35,15 +35,16 @@ RAW_PAYLOAD = T.StructType(
     ]
 )
 
+# A match belongs to one resume: jobs, status log and tracker know a link within its resume.
 JOBS = T.StructType(
-    _strings("date_found", "company", "title", "location", "job_type")
+    _strings("resume_id", "date_found", "company", "title", "location", "job_type")
     + [T.StructField("match_score", T.IntegerType())]
     + _strings("application_status", "link", "source", "salary", "description")
     + [T.StructField("created_at", T.TimestampType())]
 )
 
 STATUS_LOG = T.StructType(
-    _strings("link", "status") + [T.StructField("ts", T.TimestampType())]
+    _strings("resume_id", "link", "status") + [T.StructField("ts", T.TimestampType())]
 )
 
 RESUME_TEXT = T.StructType(_strings("resume_id", "raw_text", "source_file"))

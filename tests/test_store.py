@@ -98,7 +98,9 @@ def test_sheet(spark, tmp_path):
     assert store.append_sheet(spark, path, df, day()) == 4
     assert store.append_sheet(spark, path, df, day()) == 1
     sheet = store.read_sheet(spark, path)
-    assert sheet.columns == list(store.schemas.SHEET_COLUMNS)
+    assert sheet.columns == ["Resume", *store.schemas.SHEET_COLUMNS]
+    store.export_sheet(sheet, path + "-csv")
+    assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path + "-csv").count() == 5
     got = sorted((r["Job Link"], r["Company"], r["Match Score"], r["Status"], r["Title"]) for r in sheet.collect())
     assert got[0] == ("", "C", 0, "", "T") and got[1] == got[0]
     assert ("a", "C", 7, "", 'say "hi", you\nthere') in got and ("b", "Unknown", 0, "", "T") in got
@@ -106,6 +108,22 @@ def test_sheet(spark, tmp_path):
     assert off.count() == 5 and store.off_domain_statuses(sheet).count() == 0
 
 
+def test_each_resume_keeps_its_match_of_a_link(spark, tmp_path):
+    path, log, sheet = (str(tmp_path / n) for n in ("jobs", "log", "sheet"))
+    df = rows(spark, *[dict(link="a", match_score=s) for s in (9, 10, 10, 8)]).withColumn(
+        "resume_id", F.element_at(F.array(F.lit("r1"), F.lit("r2"), F.lit("r3"), F.lit("r1")), F.col("seq").cast("int") + 1))
+    first = load(spark, path, df)
+    assert (first.inserted, first.skipped) == (3, 1) and load(spark, path, df).inserted == 0
+    assert load(spark, path, df.withColumn("resume_id", F.lit(None).cast("string"))).inserted == 1
+    stored = store.read_jobs(spark, path)
+    assert sorted((r.resume_id, r.match_score) for r in stored.collect()) == [("", 9), ("r1", 9), ("r2", 10), ("r3", 10)]
+    store.record_status(spark.createDataFrame([("r2", "a", "Offer", None)], "resume_id string, link string, status string, ts timestamp"), log)
+    got = store.latest_status(stored, spark.read.schema(store.schemas.STATUS_LOG).parquet(log))
+    assert [r.resume_id for r in got.where("application_status = 'Offer'").collect()] == ["r2"]
+    assert store.append_sheet(spark, sheet, df.where("resume_id = 'r2'"), day()) == 1
+    assert store.append_sheet(spark, sheet, df, day()) == 3
+
+
 def test_first_load_without_rows_to_store(spark, tmp_path):
     path = str(tmp_path / "jobs")
     none = load(spark, path, rows(spark, dict(link="a")).limit(0))
