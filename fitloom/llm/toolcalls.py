@@ -1,8 +1,8 @@
 """Tool-call linking: calls meet their results by identifier, in dependency order, with checked arguments.
 
 A call names the calls whose results it needs. Levels follow from the names: a call without needs has
-level 0, every other one more than the highest level it needs; each round settles all calls whose needs are settled,
-so rounds grow with the longest chain only. Calls on a cycle, or above one, never settle and are
+level 0, every other one more than the highest level it needs; calls of one need find
+their level by pointer doubling, in rounds that grow with the logarithm of the longest chain; calls of several needs are settled in rounds. Calls on a cycle, or above one, never settle and are
 marked. Arguments are parsed to a map of raw values, checked against a table of required and typed fields, and
 written as canonical JSON: keys sorted by code point, no white space, values as canonical texts.
 
@@ -44,25 +44,33 @@ def levels(calls: DataFrame) -> DataFrame:
     nodes = calls.select("conv_id", "call_id").distinct()
     known = nodes.withColumnRenamed("call_id", "need")
     edges = stored(calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct().join(known, ["conv_id", "need"], "left_semi"))
-    waiting = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("open"))
-    # Calls that never wait are settled at once and stay out of the rounds.
-    rest = stored(waiting)
-    settled = stored(nodes.join(rest, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    done, level = [settled], 0
-    while not rest.isEmpty():
-        level += 1
-        freed = edges.join(settled.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("got"))
-        left = stored(rest.join(freed, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("open") - F.coalesce("got", F.lit(0))).alias("open")))
-        settled = stored(left.where("open = 0").select("conv_id", "call_id", F.lit(level).alias("level")))
-        if settled.isEmpty():
-            done.append(left.select("conv_id", "call_id", F.lit(None).cast("int").alias("level")))
-            break
-        done.append(settled)
-        rest = stored(left.where("open > 0"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    key, at = ["conv_id", "call_id"], ["conv_id", "need"]
+    waiting = stored(edges.groupBy(*key).agg(F.count("*").alias("open"), F.min("need").alias("need")))
+    # Calls of one need point to it; each round doubles how far they point, up to a call of none or several needs.
+    up = stored(waiting.where("open = 1").select(*key, "need", F.lit(1).cast("long").alias("far")))
+    total, span, moving = up.count(), 1, True
+    while moving and span <= total:
+        over = up.select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("_need"), F.col("far").alias("_far"))
+        moved = stored(up.join(over, at, "left").select(
+            *key, F.coalesce("_need", "need").alias("need"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.col("_need").isNotNull().alias("moved")))
+        up, span, moving = moved.drop("moved"), span * 2, not moved.where("moved").isEmpty()
+    # Calls of several needs go in rounds, over the ends of those pointers.
+    rest = stored(waiting.where("open > 1").select(*key, "open", F.lit(0).cast("long").alias("top")))
+    ends = up.select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("_end"), "far")
+    links = stored(edges.join(rest.select(*key), key, "left_semi").join(ends, at, "left").select(
+        *key, F.coalesce("_end", "need").alias("need"), F.coalesce("far", F.lit(0)).alias("far")))
+    settled = stored(nodes.join(waiting, key, "left_anti").withColumn("level", F.lit(0).cast("long")))
+    done = settled
+    while not rest.isEmpty() and not settled.isEmpty():
+        freed = links.join(settled.withColumnRenamed("call_id", "need"), at).groupBy(*key).agg(
+            F.count("*").alias("got"), F.max(F.col("level") + F.col("far")).alias("high"))
+        left = stored(rest.join(freed, key, "left").select(
+            *key, (F.col("open") - F.coalesce("got", F.lit(0))).alias("open"), F.greatest("top", "high").alias("top")))
+        settled = stored(left.where("open = 0").select(*key, (F.col("top") + 1).alias("level")))
+        done, rest = done.unionByName(settled), stored(left.where("open > 0"))
+    single = up.join(done.withColumnRenamed("call_id", "need"), at, "left").select(*key, (F.col("level") + F.col("far")).alias("level"))
+    never = rest.select(*key, F.lit(None).cast("long").alias("level"))
+    return done.unionByName(single).unionByName(never).withColumn("level", F.col("level").cast("int"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

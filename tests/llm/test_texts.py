@@ -192,3 +192,10 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert got[(1, "b")]["problems"] == ["type of a"] and got[(1, "c")]["n_missing"] == 1 and not got[(1, "c")]["valid"]
     assert got[(1, "e")]["arguments"] == "{}" and got[(2, "a")]["problems"] == ["unknown extra"] and got[(1, "q")]["tool"] is None
     assert toolcalls.link(calls.limit(0), results.limit(0), schemas).count() == 0
+
+
+def test_levels_of_long_chains_and_cycles(spark):
+    needs = {**{str(i): [str(i - 1)] if i else [] for i in range(40)}, "two": ["39", "5"], "over": ["two"], "x": ["y"], "y": ["x"], "z": ["x", "3"], "free": ["absent"]}
+    want = {**{str(i): i for i in range(40)}, "two": 40, "over": 41, "x": None, "y": None, "z": None, "free": 0}
+    calls = spark.createDataFrame([(1, k, v) for k, v in needs.items()], "conv_id int, call_id string, needs array<string>")
+    assert {r.call_id: r.level for r in toolcalls.levels(calls).collect()} == want
