@@ -240,13 +240,11 @@ LEFT JOIN (SELECT doc_id, string_agg(word, ',' ORDER BY rank) AS kws FROM ({ORAC
 LEFT JOIN (SELECT doc_id, count(*) AS n_certs FROM ({_CERTS}) GROUP BY doc_id) USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n_jobs FROM (%JOBS%) GROUP BY doc_id) USING (doc_id)"""
 
-_PROJECT_LINES = _replaced(
-    "text", ((". ", "\n- "), (" the ", "\nthe "), (" of ", " (of, 2023) "), (" in ", " (in, it) "))
-)
-ORACLE["project_groups"] = rf"""
+def _projects(table: str, text: str) -> str:
+    return rf"""
 WITH l AS (
   SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (
-    SELECT doc_id, i, {_strip('line')} AS s FROM ({_lines('documents', 'doc_id', _strip(_PROJECT_LINES))})) WHERE s <> ''
+    SELECT doc_id, i, {_strip('line')} AS s FROM ({_lines(table, 'doc_id', _strip(text))})) WHERE s <> ''
 ), f AS (
   SELECT *, starts_with(s, '-') OR starts_with(s, '•') OR starts_with(s, '●') AS bullet,
     NOT regexp_matches(s, '[\(\)].*\d{{4}}') AND length(s) < 80 AND regexp_matches(s, '^\p{{Ll}}') AS low
@@ -270,6 +268,12 @@ SELECT doc_id, ord, rtrim({_strip(r"regexp_replace(clean, '\([^)]+\)', '', 'g')"
   year FROM c"""
 
 
+_PROJECT_LINES = _replaced(
+    "text", ((". ", "\n- "), (" the ", "\nthe "), (" of ", " (of, 2023) "), (" in ", " (in, it) "))
+)
+ORACLE["project_groups"] = _projects("documents", _PROJECT_LINES)
+
+
 def _experience(table: str, text: str, title_words, extra: str = "") -> str:
     months = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
     return rf"""
@@ -306,9 +310,6 @@ _EXPERIENCE_LINES = _replaced(
 ORACLE["experience_groups"] = _experience(
     "documents", _EXPERIENCE_LINES, ("lead", "vice", "ther", "manager")
 )
-ORACLE["profile_parse"] = ORACLE["profile_parse"].replace(
-    "%JOBS%", _experience(f"(SELECT doc_id, body FROM ({_SECTIONS}) WHERE section = 'experience')", "body", X.TITLE_WORDS)
-)
 _EDU_LINES = _replaced(
     "text", ((". ", "\n"), (" and ", "\nBachelor of "), (" the ", " GPA 3.5, "), (" de ", " May 2024 "))
 )
@@ -316,7 +317,8 @@ _DEGREE = r"(?i)^(Bachelor|Master|Ph\.?D|Associate|B\.?S\.?|M\.?S\.?|B\.?A\.?|M\
 _FIELD = r"(?i)in\s+([A-Za-z\s]+?)(?:\s*,|\s*$|\s*GPA)"
 _GRAD = r"(?i)(Expected\s+)?(May|June|December|Spring|Fall|Summer|January)?\s*\d{4}"
 _GPA = r"(?i)GPA[:\s]*(\d+\.\d+)"
-ORACLE["education_first_last"] = rf"""
+def _education(table: str, text: str) -> str:
+    return rf"""
 SELECT doc_id,
   arg_min(s, i) FILTER (length(s) > 5 AND NOT starts_with(s, '-') AND NOT starts_with(lower(s), 'relevant')
     AND NOT starts_with(lower(s), 'google') AND NOT starts_with(lower(s), 'coursera')) AS institution,
@@ -324,9 +326,35 @@ SELECT doc_id,
   coalesce({_strip(f"arg_max(regexp_extract(s, '{_FIELD}', 1), i) FILTER (regexp_matches(s, '{_FIELD}'))")}, '') AS field,
   arg_max(regexp_extract(s, '{_GPA}', 1), i) FILTER (regexp_matches(s, '{_GPA}')) AS gpa,
   coalesce({_strip(f"arg_max(regexp_extract(s, '{_GRAD}', 0), i) FILTER (regexp_matches(s, '{_GRAD}'))")}, '') AS graduation
-FROM (SELECT doc_id, i, {_strip('line')} AS s FROM ({_lines('documents', 'doc_id', _strip(_EDU_LINES))}))
+FROM (SELECT doc_id, i, {_strip('line')} AS s FROM ({_lines(table, 'doc_id', _strip(text))}))
 WHERE s <> '' GROUP BY doc_id HAVING institution IS NOT NULL"""
 
+
+ORACLE["education_first_last"] = _education("documents", _EDU_LINES)
+
+
+def _section(name: str) -> str:
+    return f"(SELECT doc_id, body FROM ({_SECTIONS}) WHERE section = '{name}')"
+
+
+def _entries(sql: str, order: str, *fields: str) -> str:
+    """One hash of a document's nested entries."""
+    return f"(SELECT doc_id, md5(string_agg(concat_ws(chr(31), {', '.join(fields)}), chr(30) ORDER BY {order})) AS h FROM ({sql}) GROUP BY doc_id)"
+
+
+_JOBS_OF = _experience(_section("experience"), "body", X.TITLE_WORDS)
+ORACLE["profile_parse"] = ORACLE["profile_parse"].replace("%JOBS%", _JOBS_OF)
+_found = lambda words: f"coalesce((SELECT string_agg(kw, ',' ORDER BY length(kw) DESC, kw) FROM (VALUES {_values((w,) for w in {*words})}) v(kw) WHERE contains(lower(d.text), kw)), '')"
+ORACLE["profile_parse"] = f"""
+SELECT p.*, coalesce(pr.h, md5('')) AS projects_hash, coalesce(ed.h, md5('')) AS education_hash, coalesce(ex.h, md5('')) AS experience_hash,
+  coalesce(ce.h, md5('')) AS certifications_hash, {_found(I.LEXICON)} AS programming_languages, {_found(I.TECH_LEXICON)} AS technologies,
+  md5(d.text) AS text_hash, NULL::VARCHAR AS source_file
+FROM ({ORACLE["profile_parse"]}) p JOIN documents d ON d.doc_id = p.resume_id
+LEFT JOIN {_entries(_projects(_section("projects"), "body"), "ord", "name", "description_hash", "technologies", "year")} pr ON pr.doc_id = d.doc_id
+LEFT JOIN {_entries(_education(_section("education"), "body"), "institution", "institution", "degree", "field", "gpa", "graduation")} ed ON ed.doc_id = d.doc_id
+LEFT JOIN {_entries(_JOBS_OF, "ord", "company", "title", "duration", "description_hash")} ex ON ex.doc_id = d.doc_id
+LEFT JOIN {_entries(_CERTS, "ord", "line")} ce ON ce.doc_id = d.doc_id"""
+
 # Sources
 
 _ROLES = f"(VALUES {_values((r, i) for i, r in enumerate(I.ROLES))}) r(role, role_ord)"
@@ -642,6 +670,9 @@ SELECT * FROM (
       + least(coalesce(nw, 0), 3), 0)))::INT END AS match_score, md5(title) AS title_hash
   FROM firsts JOIN f USING (cid) LEFT JOIN c ON c.cid = firsts.cid AND c.item_id = resume_id
 ) WHERE match_score >= 5"""
-ORACLE["stream_ingest"] = """
-SELECT DISTINCT md5(text) AS link FROM documents
-WHERE text NOT IN (SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
+ORACLE["stream_ingest"] = f"""
+SELECT '' AS resume_id, {_DAY} AS date_found, source AS company, lang AS title, '' AS location, 'Internship' AS job_type,
+  (n_chars % 10)::INT AS match_score, 'Not Applied' AS application_status, md5(text) AS link, source, NULL::VARCHAR AS salary,
+  sha256(text) AS description
+FROM documents LEFT JOIN (SELECT DISTINCT doc_id, TRUE AS known FROM labels) USING (doc_id)
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY coalesce(known, FALSE) DESC, doc_id) = 1"""

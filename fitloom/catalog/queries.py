@@ -169,6 +169,18 @@ def role_search4(spark, d):
 # Profile and line machines
 
 
+def _text(*fields):
+    return F.concat_ws("\x1f", *fields)
+
+
+#: One text of each nested entry of a profile.
+ENTRY_TEXT = {
+    "projects": lambda p: _text(p["name"], F.md5(p["description"]), F.array_join(p["technologies"], "~"), p["year"]),
+    "education": lambda e: _text(e["institution"], e["degree"], e["field"], e["gpa"], e["graduation"]),
+    "experience": lambda e: _text(e["company"], e["title"], e["duration"], F.md5(e["description"])),
+}
+
+
 @query
 def profile_parse(spark, d):
     p = parse_profiles(I.doc_resumes(spark, d), I.PROFILE_TERMS)
@@ -179,6 +191,10 @@ def profile_parse(spark, d):
         F.array_join("keywords", ",").alias("keywords"),
         F.size("certifications").alias("n_certs"),
         "experience_level",
+        *[F.md5(F.array_join(F.transform(c, entry), "\x1e")).alias(f"{c}_hash") for c, entry in ENTRY_TEXT.items()],
+        F.md5(F.array_join("certifications", "\x1e")).alias("certifications_hash"),
+        F.array_join("programming_languages", ",").alias("programming_languages"),
+        F.array_join("technologies", ",").alias("technologies"), F.md5("raw_text").alias("text_hash"), "source_file",
     )
 
 
@@ -601,12 +617,19 @@ def discovery_matches(spark, d):
 
 @query
 def stream_ingest(spark, d):
+    """Labelled documents appended as a batch, then all documents streamed into the same jobs table."""
+    def postings(docs):
+        return docs.select(
+            "doc_id", F.lit(None).cast("string").alias("resume_id"), F.md5("text").alias("link"), F.col("source").alias("company"),
+            F.col("lang").alias("title"), F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("type"),
+            F.lit(None).cast("string").alias("salary"), F.sha2("text", 256).alias("description"),
+            F.lit(None).cast("string").alias("date_posted"), "source", (F.col("n_chars") % 10).alias("match_score"),
+        )
+
     schema = table(spark, d, "documents").schema
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-        .select(F.md5("text").alias("link"))
-    )
-    stored = I.labelled(spark, d).select(F.md5("text").alias("link"))
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
     folder = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    ingest(stream, f"{folder}/jobs", f"{folder}/state", stored=stored).awaitTermination()
-    return spark.read.schema("link string").parquet(f"{folder}/jobs")
+    order, stored_at = [F.col("doc_id")], F.lit("2026-03-12 00:00:00")
+    store.append_jobs(spark, f"{folder}/jobs", postings(I.labelled(spark, d)), order, day(), stored_at)
+    ingest(postings(stream), f"{folder}/jobs", f"{folder}/state", order, day(), stored_at, f"{folder}/rejects").awaitTermination()
+    return store.read_jobs(spark, f"{folder}/jobs").drop("created_at")

@@ -1,40 +1,32 @@
-"""Incremental ingest: each link enters the stored table once, over all micro-batches and runs."""
+"""Incremental ingest: micro-batches go through the keyed load into the same jobs table that batch loads append to."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from fitloom.operators.dedup import stored_keys
+from fitloom.operators import store
 
 
-def unseen(stream: DataFrame, key: str = "link", stored: DataFrame | None = None) -> DataFrame:
-    """Stream rows whose key was neither stored before the stream began nor seen in it.
+def ingest(stream: DataFrame, path: str, checkpoint: str, order: list[Column], as_of: Column,
+           created_at: Column, rejects: str | None = None) -> StreamingQuery:
+    """Append the postings of each micro-batch whose link is not stored yet for their resume, then stop.
 
-    Seen keys are state hashed by key over the shuffle partitions. Rows with an empty key have no
-    identity and pass; they take no state.
+    Run again with the same checkpoint to go on. Keys are looked up in the table itself, so the stream
+    holds no state. A batch that is run again after a lost driver finds the rows it had written and adds
+    the others. Rows that cannot be stored go with their reason to rejects, one folder per batch, which
+    a repeated batch overwrites. All folders must be shared by all executors.
     """
-    key_text = F.coalesce(F.col(key), F.lit(""))
-    named = stream.where(key_text != "")
-    if stored is not None:
-        named = named.join(stored_keys(stored, key), key, "left_anti")
-    return named.dropDuplicates([key]).unionByName(stream.where(key_text == ""))
 
+    def load(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if rejects is not None:
+            store.quarantine(batch).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+        store.append_jobs(spark, path, batch, order, as_of, created_at)
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "link",
-           stored: DataFrame | None = None) -> StreamingQuery:
-    """Append unseen rows to path, then stop. Run again with the same checkpoint to go on.
-
-    The file sink and the checkpointed state together write each link exactly once, also when
-    executors are lost. Both folders must be shared by all executors.
-    """
     return (
-        unseen(stream, key, stored)
-        .writeStream.format("parquet")
-        .option("path", path)
+        stream.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -1,21 +1,62 @@
+import datetime
+
+from pyspark.sql import functions as F
+
+from fitloom import schemas
+from fitloom.operators import store
 from fitloom.streaming.ingest import ingest
 
-SCHEMA = "link string, title string"
+AS_OF = F.lit(datetime.date(2026, 3, 12))
+CREATED = F.lit("2026-03-12 00:00:00")
+SCHEMA = "resume_id string, title string, company string, location string, type string, salary string, description string, link string, date_posted string, source string, match_score int, seq long"
+
+
+def rows(spark, *links, resume="r", company="c"):
+    made = [(resume, f"t{i}", company, None, None, None, None, link, None, "s", None, i) for i, link in enumerate(links)]
+    return spark.createDataFrame(made, SCHEMA)
+
+
+def folders(tmp_path):
+    return [str(tmp_path / n) for n in ("landing", "jobs", "state", "rejects")]
+
+
+def land(df, landing):
+    df.coalesce(1).write.mode("append").parquet(landing)
+
+
+def run(spark, landing, jobs, state, rejects):
+    ingest(spark.readStream.schema(SCHEMA).parquet(landing), jobs, state, [F.col("seq")], AS_OF, CREATED, rejects).awaitTermination()
+    return sorted((r.resume_id, r.link) for r in store.read_jobs(spark, jobs).collect())
+
 
+def test_stream_and_append_share_a_table(spark, tmp_path):
+    landing, jobs, state, rejects = folders(tmp_path)
+    assert store.append_jobs(spark, jobs, rows(spark, "old"), [F.col("seq")], AS_OF, CREATED).inserted == 1
+    land(rows(spark, "a", "a", "b", "old", ""), landing)
+    assert run(spark, landing, jobs, state, rejects) == [("r", ""), ("r", "a"), ("r", "b"), ("r", "old")]
+    assert run(spark, landing, jobs, state, rejects) == [("r", ""), ("r", "a"), ("r", "b"), ("r", "old")]
+    counts = store.append_jobs(spark, jobs, rows(spark, "b", "c"), [F.col("seq")], AS_OF, CREATED)
+    assert (counts.inserted, counts.skipped) == (1, 1)
+    land(rows(spark, "c", "d", None), landing)
+    land(rows(spark, "a", resume="q"), landing)
+    assert run(spark, landing, jobs, state, rejects) == [("q", "a"), ("r", ""), ("r", "a"), ("r", "b"), ("r", "c"), ("r", "d"), ("r", "old")]
 
-def test_runs_add_each_link_once(spark, tmp_path):
-    landing, out, state = (str(tmp_path / n) for n in ("landing", "out", "state"))
 
-    def land(*rows):
-        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(landing)
+def test_defaults_and_rejected_rows(spark, tmp_path):
+    landing, jobs, state, rejects = folders(tmp_path)
+    land(rows(spark, "x", company=None), landing)
+    assert run(spark, landing, jobs, state, rejects) == []
+    land(rows(spark, "x", "y"), landing)
+    assert run(spark, landing, jobs, state, rejects) == [("r", "x"), ("r", "y")]
+    row = store.read_jobs(spark, jobs).where("link = 'x'").first()
+    assert (row.date_found, row.job_type, row.match_score, row.application_status, row.location) == ("2026-03-12", "Internship", 0, "Not Applied", "")
+    assert set(store.read_jobs(spark, jobs).columns) == set(schemas.JOBS.names)
+    assert [(r.link, r.reason) for r in spark.read.schema(SCHEMA + ", reason string").parquet(rejects).collect()] == [("x", "company is null")]
 
-    def run():
-        stored = spark.createDataFrame([("old", "x"), ("", "x")], SCHEMA)
-        ingest(spark.readStream.schema(SCHEMA).parquet(landing), out, state, stored=stored).awaitTermination()
-        return sorted(r.link or "" for r in spark.read.schema(SCHEMA).parquet(out).collect())
 
-    land(("a", "1"), ("a", "2"), ("b", "3"), ("old", "4"), ("", "5"))
-    assert run() == ["", "a", "b"]
-    assert run() == ["", "a", "b"]
-    land(("b", "6"), ("c", "7"), ("", "8"), (None, "9"))
-    assert run() == ["", "", "", "a", "b", "c"]
+def test_a_repeated_batch_adds_only_what_is_missing(spark, tmp_path):
+    landing, jobs, state, rejects = folders(tmp_path)
+    batch = rows(spark, "a", "b", "")
+    store.append_jobs(spark, jobs, batch.where("link = 'a'"), [F.col("seq")], AS_OF, CREATED)
+    land(batch, landing)
+    assert run(spark, landing, jobs, state, rejects) == [("r", ""), ("r", "a"), ("r", "b")]
