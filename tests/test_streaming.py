@@ -1,16 +1,18 @@
-import datetime
-
 from pyspark.sql import functions as F
 
 from fitloom import schemas
 from fitloom.operators import store
 from fitloom.streaming.ingest import ingest
 
-AS_OF = F.lit(datetime.date(2026, 3, 12))
-CREATED = F.lit("2026-03-12 00:00:00")
+AS_OF = "2026-03-12"
+CREATED = "2026-03-12 00:00:00"
 SCHEMA = "resume_id string, title string, company string, location string, type string, salary string, description string, link string, date_posted string, source string, match_score int, seq long"
 
 
+def rule():
+    return [F.col("seq")], F.lit(AS_OF).cast("date"), F.lit(CREATED)
+
+
 def rows(spark, *links, resume="r", company="c"):
     made = [(resume, f"t{i}", company, None, None, None, None, link, None, "s", None, i) for i, link in enumerate(links)]
     return spark.createDataFrame(made, SCHEMA)
@@ -25,17 +27,17 @@ def land(df, landing):
 
 
 def run(spark, landing, jobs, state, rejects):
-    ingest(spark.readStream.schema(SCHEMA).parquet(landing), jobs, state, [F.col("seq")], AS_OF, CREATED, rejects).awaitTermination()
+    ingest(spark.readStream.schema(SCHEMA).parquet(landing), jobs, state, *rule(), rejects).awaitTermination()
     return sorted((r.resume_id, r.link) for r in store.read_jobs(spark, jobs).collect())
 
 
 def test_stream_and_append_share_a_table(spark, tmp_path):
     landing, jobs, state, rejects = folders(tmp_path)
-    assert store.append_jobs(spark, jobs, rows(spark, "old"), [F.col("seq")], AS_OF, CREATED).inserted == 1
+    assert store.append_jobs(spark, jobs, rows(spark, "old"), *rule()).inserted == 1
     land(rows(spark, "a", "a", "b", "old", ""), landing)
     assert run(spark, landing, jobs, state, rejects) == [("r", ""), ("r", "a"), ("r", "b"), ("r", "old")]
     assert run(spark, landing, jobs, state, rejects) == [("r", ""), ("r", "a"), ("r", "b"), ("r", "old")]
-    counts = store.append_jobs(spark, jobs, rows(spark, "b", "c"), [F.col("seq")], AS_OF, CREATED)
+    counts = store.append_jobs(spark, jobs, rows(spark, "b", "c"), *rule())
     assert (counts.inserted, counts.skipped) == (1, 1)
     land(rows(spark, "c", "d", None), landing)
     land(rows(spark, "a", resume="q"), landing)
@@ -57,6 +59,6 @@ def test_defaults_and_rejected_rows(spark, tmp_path):
 def test_a_repeated_batch_adds_only_what_is_missing(spark, tmp_path):
     landing, jobs, state, rejects = folders(tmp_path)
     batch = rows(spark, "a", "b", "")
-    store.append_jobs(spark, jobs, batch.where("link = 'a'"), [F.col("seq")], AS_OF, CREATED)
+    store.append_jobs(spark, jobs, batch.where("link = 'a'"), *rule())
     land(batch, landing)
     assert run(spark, landing, jobs, state, rejects) == [("r", ""), ("r", "a"), ("r", "b")]
