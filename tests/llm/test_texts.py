@@ -105,6 +105,15 @@ def test_spans_are_added_and_base_spans_stay(spark):
     assert pii.find(empty, pii.fit(empty)).count() == 0
 
 
+def test_pii_sample_is_the_lowest_hashes_whatever_the_size(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('call ', id) AS text")
+    df = df.unionByName(df.where("doc_id < 500")).repartition(7)
+    monkeypatch.setattr(pii, "Model", lambda texts: texts)
+    hashed = {r["text"]: r["h"] for r in df.selectExpr("xxhash64(doc_id, text) AS h", "text").distinct().collect()}
+    for sample in (40, 400, 5000):
+        assert pii.fit(df, sample) == sorted(hashed, key=hashed.get)[:sample]
+
+
 def plain_rule(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
