@@ -540,6 +540,14 @@ ORACLE["load_per_resume"] = """
 SELECT o_custkey::VARCHAR AS resume_id, o_orderpriority AS link, 'House of ' || o_orderstatus AS company,
   (o_orderkey % 10)::INT AS match_score, strftime(o_orderdate, '%Y-%m-%d') AS date_found, 'Internship' AS job_type
 FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) = 1"""
+ORACLE["load_counts"] = """
+WITH k AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'),
+a AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus <> 'P'),
+n AS (
+  SELECT 0 AS load, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS incoming, (SELECT count(*) FROM k) AS inserted, 0 AS quarantined
+  UNION ALL SELECT 1, (SELECT count(*) FROM orders), (SELECT count(*) FROM a) - (SELECT count(*) FROM k),
+    (SELECT count(*) FROM orders WHERE o_orderstatus = 'P'))
+SELECT load::INT AS load, incoming, inserted, incoming - inserted - quarantined AS skipped, quarantined::BIGINT AS quarantined FROM n"""
 ORACLE["exists_semi"] = f"SELECT doc_id FROM ({_KEYED}) WHERE link <> '' AND link IN ({_STORED})"
 ORACLE["sheet_append_rows"] = f"""
 SELECT {_DAY} AS "Date Found", company AS "Company", title AS "Title", location AS "Location", 'Internship' AS "Type",

@@ -453,22 +453,38 @@ def load_new_anti(spark, d):
     )
 
 
-@query
-def load_per_resume(spark, d):
-    """Matches of all resumes loaded into an empty jobs table, and once more, then read back."""
-    matches = table(spark, d, "orders").select(
+def _order_matches(spark, d):
+    return table(spark, d, "orders").select(
         F.col("o_custkey").alias("resume_id"), F.col("o_orderpriority").alias("link"), "o_orderkey",
         F.concat(F.lit("House of "), "o_orderstatus").alias("company"), F.col("o_orderpriority").alias("title"),
         F.lit("").alias("location"), F.lit(None).cast("string").alias("type"), F.lit("").alias("salary"),
         F.lit("").alias("description"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_posted"),
         F.lit("orders").alias("source"), (F.col("o_orderkey") % 10).alias("match_score"),
     )
+
+
+@query
+def load_per_resume(spark, d):
+    """Matches of all resumes loaded into an empty jobs table, and once more, then read back."""
+    matches = _order_matches(spark, d)
     path = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
     for _ in range(2):
         store.append_jobs(spark, path, matches, [F.col("o_orderkey")], day(), F.lit("2026-03-12 00:00:00"))
     return store.read_jobs(spark, path).select("resume_id", "link", "company", "match_score", "date_found", "job_type")
 
 
+@query
+def load_counts(spark, d):
+    """Counts that two loads report: matches of filled orders, then all, those of pending ones without a company."""
+    matches = _order_matches(spark, d).withColumn("company", F.when(~F.endswith("company", F.lit("P")), F.col("company")))
+    path = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    rows = []
+    for load, part in enumerate((matches.where("company = 'House of F'"), matches)):
+        c = store.append_jobs(spark, path, part, [F.col("o_orderkey")], day(), F.lit("2026-03-12 00:00:00"))
+        rows.append((load, c.incoming, c.inserted, c.skipped, c.quarantined))
+    return spark.createDataFrame(rows, "load int, incoming long, inserted long, skipped long, quarantined long")
+
+
 @query
 def exists_semi(spark, d):
     rows, stored = I.keyed_postings(_docs(spark, d)), I.keyed_postings(I.labelled(spark, d))
