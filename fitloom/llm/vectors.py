@@ -2,7 +2,9 @@
 
 Equal vectors are one class. Each pass sorts the classes by 64 sign bits of random projections, read as
 one string of bits, and compares every class with the window before it. A pair counts in the first
-pass whose window holds it, so passes report counts and a spanning set of links, never all pairs. Links are
+pass whose window holds it, so passes report counts and a spanning set of links, never all pairs. The number
+of passes follows from the number of classes: at least ten, and so many that of pairs at just the threshold among
+evenly spread vectors at most MISS are in no window. Crowded regions can lose more. Links are
 joined across passes to components. Where a component has more classes than a window, its missed pairs
 are found exactly: its classes are compared in a grid of blocks, counts only.
 
@@ -13,6 +15,7 @@ are one vector, which holds the links of all of them. Cosines are in double prec
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,16 @@ from fitloom.llm.common import components, stored
 from fitloom.operators.ranking import row_index
 
 BITS, BLOCK, GRID = 64, 1024, 2048
+#: The passes there always are, and the share of pairs at the threshold that may be in no window of any pass.
+LEAST_PASSES, MISS = 10, 0.01
+
+
+def passes_for(classes: int, window: int = 64, threshold: float = 0.9, miss: float = MISS) -> int:
+    """Passes after which a pair at the threshold is in no window with probability miss, vectors being evenly spread."""
+    # A window holds the classes that share the first log2(classes / window) sign bits; each agrees with p.
+    p = 1 - math.acos(threshold) / math.pi
+    found = min(p ** max(math.log2(max(classes, 1) / window), 0), 1 - 1e-9)
+    return max(LEAST_PASSES, math.ceil(math.log(miss) / math.log(1 - found)))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -142,10 +155,11 @@ def exact_counts(members: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = 10, window: int = 64, id_col: str = "vec_id",
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 64, id_col: str = "vec_id",
                     vec_col: str = "embedding") -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept."""
+    """Per row: vec_id, n_links, component_id, kept. passes: by default as many as passes_for the number of classes."""
     reps, members = classes(vectors, id_col, vec_col)
+    passes = passes or passes_for(reps.count(), window, threshold)
     # Numbers over all passes at once: a window never looks across a pass.
     ranked = row_index(sort_keys(reps, passes), [F.col("pass"), F.col("key"), F.col("rep")], "rank").select("rep", "pass", "rank")
     ranks = ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pass", "rank"))).alias("r"))

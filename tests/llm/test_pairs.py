@@ -212,3 +212,27 @@ def test_vectors_equal_brute_force(spark):
     assert V.near_duplicates(df.limit(0)).count() == 0
     alone = V.near_duplicates(df.where("vec_id >= 3000").withColumn("vec_id", F.lit(None).cast("long"))).collect()
     assert {(r["n_links"], r["component_id"], r["kept"]) for r in alone} == {(0, None, False)}
+
+
+def in_a_window(n, pairs, passes, window=64, d=32, seed=3):
+    """Share of the planted pairs at cosine 0.9, among n random vectors, that some pass has in one window."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(pairs, d))
+    side -= (side * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    x[pairs:2 * pairs] = 0.9 * x[:pairs] + np.sqrt(0.19) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    met = np.zeros(pairs, bool)
+    for p in range(passes):
+        planes = np.random.default_rng([5, p]).normal(size=(d, V.BITS))
+        keys = np.packbits(x @ planes > 0, axis=1).view(">u8")[:, 0]
+        rank = np.empty(n, np.int64)
+        rank[np.argsort(keys, kind="stable")] = np.arange(n)
+        met |= np.abs(rank[:pairs] - rank[pairs:2 * pairs]) <= window
+    return met.mean()
+
+
+def test_passes_grow_with_the_classes_and_keep_the_miss_rate():
+    assert [V.passes_for(n) for n in (0, 64, 1000)] == [10, 10, 10]
+    assert V.passes_for(10**5) < V.passes_for(10**6) < V.passes_for(10**7)
+    assert in_a_window(100_000, 2000, V.passes_for(100_000)) >= 0.98 > in_a_window(100_000, 2000, 10)
