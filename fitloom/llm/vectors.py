@@ -5,8 +5,8 @@ one string of bits, and compares every class with the window before it. A pair c
 pass whose window holds it, so passes report counts and a spanning set of links, never all pairs. The number
 of passes follows from the number of classes: at least ten, and so many that of pairs at just the threshold among
 evenly spread vectors at most MISS are in no window. Crowded regions can lose more. Links are
-joined across passes to components. Where a component has more classes than a window, its missed pairs
-are found exactly: its classes are compared in a grid of blocks, counts only.
+joined across passes to components. Within every component of three or more classes links are counted exactly:
+its classes are compared in a grid of blocks, counts only; components of one block share tasks.
 
 Vectors that are null, zero, of another length than most, or hold nulls or non-finite numbers link with
 nothing; rows without an id link with nothing and have no component. Rows that repeat an id
@@ -131,12 +131,18 @@ def window_links(ranked: DataFrame, threshold: float, window: int) -> DataFrame:
 def exact_counts(members: DataFrame, threshold: float) -> DataFrame:
     """Linked vectors per class within components: rep, n_links. members: root, size, rep, n, v."""
     k = F.ceil(F.col("size") / GRID).cast("int")
+    # Components of one block are dealt to packs of about GRID classes; a larger one has its own cells.
+    packs = math.ceil(members.where(F.col("size") <= GRID).count() / GRID) or 1
+    cell = F.when(k > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs)))
     part = F.pmod(F.xxhash64("rep"), k).cast("int")
     spread = members.withColumn("part", part).select(
-        "root", "rep", "n", "v", "part", F.explode(F.sequence(F.lit(0), k - 1)).alias("other"),
-    ).select("root", "rep", "n", "v", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        (k > 1).alias("own"), cell.alias("cell"), "root", "rep", "n", "v", "part", F.explode(F.sequence(F.lit(0), k - 1)).alias("other"),
+    ).select("own", "cell", "root", "rep", "n", "v", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([count(c) for _, c in b.groupby("root")], ignore_index=True)
+
+    def count(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("rep", ignore_index=True)
         x, part, n = unit(b["v"]), b["part"].to_numpy(), b["n"].to_numpy()
         i, j = b["i"].iloc[0], b["j"].iloc[0]
@@ -150,7 +156,7 @@ def exact_counts(members: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame({"rep": b["rep"], "n": counts})
 
     return (
-        spread.groupBy("root", "i", "j").applyInPandas(compare, "rep long, n long")
+        spread.groupBy("own", "cell", "i", "j").applyInPandas(compare, "rep long, n long")
         .groupBy("rep").agg(F.sum("n").alias("n_links"))
     )
 
@@ -169,14 +175,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | No
     roots = stored(components(links.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))))
     found = links.where("other IS NULL").groupBy("rep").agg(F.sum("n").alias("n_links"))
 
-    # Every root stands for itself too; components beyond one window are counted exactly.
+    # Every root stands for itself too; components of three or more classes are counted exactly.
     rooted = stored(
         full.select("rep", "n").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
         .withColumn("root", F.coalesce("root", "rep")).join(found, "rep", "left")
     )
-    sizes = stored(rooted.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > window))
-    large = rooted.select("root", "rep").join(sizes, "root").join(full.select("rep", "n", "v"), "rep")
-    exact = stored(exact_counts(large, threshold))
+    sizes = stored(rooted.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > 2))
+    linked = stored(rooted.select("root", "rep").join(sizes, "root").join(full.select("rep", "n", "v"), "rep"))
+    exact = stored(exact_counts(linked, threshold))
     counted = stored(
         rooted.join(exact.withColumnRenamed("n_links", "exact"), "rep", "left")
         .select("rep", "root", (F.coalesce("exact", "n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"))

@@ -236,3 +236,18 @@ def test_passes_grow_with_the_classes_and_keep_the_miss_rate():
     assert [V.passes_for(n) for n in (0, 64, 1000)] == [10, 10, 10]
     assert V.passes_for(10**5) < V.passes_for(10**6) < V.passes_for(10**7)
     assert in_a_window(100_000, 2000, V.passes_for(100_000)) >= 0.98 > in_a_window(100_000, 2000, 10)
+
+
+def test_links_of_small_components_are_counted_exactly(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(60):
+        centre = rng.normal(size=8)
+        rows += [(len(rows) + k, [float(x) for x in centre + rng.normal(size=8) * 0.15]) for k in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = V.near_duplicates(df, window=8, passes=1).collect()  # one pass: components can be parts of the true ones
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    root = {r["vec_id"]: r["component_id"] for r in got}
+    inside = {i: sum(root[j] == root[i] and j != i and x[i] @ x[j] >= 0.9 for j in root) for i in root}
+    assert {r["vec_id"]: r["n_links"] for r in got} == inside
