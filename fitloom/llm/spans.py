@@ -1,7 +1,9 @@
 """Substring dedup over sliding sentence spans.
 
-From every sentence on, the shortest run of consecutive sentences with at least two sentences and
-min_words words is hashed (a single sentence of lone_words or more counts by itself). Equal hashes meet
+From every sentence on, and back from every sentence, the shortest run of consecutive sentences with at least
+two sentences and min_words words is hashed, so every sentence of a repeated passage of that length is in a hashed
+run (a single sentence of lone_words or more counts by itself too, and so does a text that is one sentence of
+min_words or more). Shorter texts are never removed. Equal hashes meet
 in one grouped minimum over the whole table; a run that is not the first of its hash, by id, text and
 place, has all its sentences removed. Only the first copy of a repeated passage stays.
 
@@ -54,6 +56,16 @@ def runs(words: list[list[str]], min_words: int, lone_words: int) -> Iterator[tu
         held -= size
 
 
+def all_runs(words: list[list[str]], min_words: int, lone_words: int) -> list[tuple[int, int]]:
+    """Every (first, end) that is hashed: runs(), the runs of several from long sentences, the shortest back from each end."""
+    n = len(words)
+    if n == 1:
+        return [(0, 1)] if len(words[0]) >= min(min_words, lone_words) else []
+    several = runs(words, min_words, sum(map(len, words)) + 1)
+    back = ((n - end, n - first) for first, end in runs(words[::-1], min_words, sum(map(len, words)) + 1))
+    return sorted({*runs(words, min_words, lone_words), *several, *back})
+
+
 def span_hashes(documents: DataFrame, min_words: int, lone_words: int, id_col: str, text_col: str) -> DataFrame:
     """One row per run: _d, _k, first, end (sentence numbers) and hash."""
     schema = "_d long, _k long, first int, end int, hash binary"
@@ -65,7 +77,7 @@ def span_hashes(documents: DataFrame, min_words: int, lone_words: int, id_col: s
                 text = t.as_py() or ""
                 words = [text[i:j].lower().split() for i, j in sentences(text)]
                 joined = [" ".join(w) for w in words]
-                for first, end in runs(words, min_words, lone_words):
+                for first, end in all_runs(words, min_words, lone_words):
                     ids.append(d)
                     keys.append(k)
                     firsts.append(first)

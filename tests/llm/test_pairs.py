@@ -251,3 +251,23 @@ def test_links_of_small_components_are_counted_exactly(spark):
     root = {r["vec_id"]: r["component_id"] for r in got}
     inside = {i: sum(root[j] == root[i] and j != i and x[i] @ x[j] >= 0.9 for j in root) for i in root}
     assert {r["vec_id"]: r["n_links"] for r in got} == inside
+
+
+def test_every_sentence_of_a_passage_is_in_a_run_inside_it():
+    rng = random.Random(6)
+    cases = [[45, 10], [45, 5, 5], [8, 8, 5], [16, 1], [20]] + [[rng.randrange(1, 50) for _ in range(rng.randrange(2, 9))] for _ in range(300)]
+    for sizes in cases:
+        if sum(sizes) < 16:
+            continue
+        before, after = ([], []) if len(sizes) == 1 else ([3, 9], [2, 50])
+        text = [["x"] * n for n in before + sizes + after]
+        low, high = len(before), len(before) + len(sizes)
+        inside = [(i, j) for i, j in P.all_runs(text, 16, 40) if low <= i and j <= high]
+        assert {k for i, j in inside for k in range(i, j)} == set(range(low, high)), sizes
+
+
+def test_tails_of_copies_go(spark):
+    text = lambda *sizes: " ".join(" ".join(f"v{k}x{j}" for j in range(n)) + "." for k, n in enumerate(sizes))
+    rows = [(3 * k + c, f"Own {k} {c}.\n" * (k < 3) + text(*sizes).replace("v", f"p{k}v")) for k, sizes in enumerate([(45, 10), (45, 5, 5), (8, 8, 5), (20,)]) for c in (0, 1)]
+    got = {r["doc_id"]: r["n_removed"] for r in P.dedup_spans(docs(spark, rows)).collect()}
+    assert got == {0: 0, 1: 2, 3: 0, 4: 3, 6: 0, 7: 3, 9: 0, 10: 1}
