@@ -9,7 +9,9 @@ fragments are composed by a tree reduction of FAN neighbours a level.
 
 The single space between two other characters is a place where both tokenizers end: the split pattern of the byte-level
 one never crosses it, and no piece of the other holds a space mark behind another character, which is checked
-when the model is loaded. A stretch without such a space stays whole, as long as it may be.
+when the model is loaded. A single line break between two other characters is one, too, if no piece holds a
+line break; a break is also the neutral start that keeps the second tokenizer from adding a space. A last mark behind a
+letter is a fragment of its own where no piece holds both. A stretch without such a place stays whole, as long as it may be.
 
 Null and empty texts, and texts whose joined token bytes are not a space and the text (characters that a
 tokenizer changes, such as U+2581), have no tokens: zeros and an empty digest. Rows that repeat an id or are equal
@@ -24,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +37,13 @@ from fitloom.llm.common import stored
 
 #: Fragments that are composed into one at each level of the tree, and the code points of a part.
 FAN, PART_CHARS = 16, 200_000
-#: Stretches in a task's cache, by number and by characters; pairs whose counts are broadcast.
-CACHE, CACHE_CHARS, HOT_PAIRS = 60_000, 4_000_000, 1 << 20
+#: Stretches from which a task's cache begins its next generation; pairs whose counts are broadcast.
+CACHE, HOT_PAIRS = 120_000, 1 << 20
 #: An id pair is one number: the first id times SHIFT plus the second.
 SHIFT = 1 << 31
 MARK = "▁"
+#: What stands for a stretch whose bytes differ.
+WRONG = (-1, 0, 0, 0, "", ())
 SUMS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -144,46 +149,117 @@ class Pair:
         chars = byte_level()
         with open(a_path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        self.a_bytes = {i: bytes(chars[c] for c in t) for t, i in vocabulary.items() if all(c in chars for c in t)}
+        self.a_bytes = [b""] * self.a.get_vocab_size()
+        for t, i in vocabulary.items():
+            if all(c in chars for c in t):
+                self.a_bytes[i] = bytes(chars[c] for c in t)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any(MARK in p.lstrip(MARK) for p in pieces):
-            raise ValueError("a piece of the second vocabulary crosses a space: texts cannot be cut there")
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
+            raise ValueError("a piece of the second vocabulary crosses a space or a line: texts cannot be cut there")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.seen: dict[str, tuple | None] = {}
-        self.size = 0
-
-    def tokens(self, stretches: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of a space and each stretch by both tokenizers; the second one adds its own space."""
-        own = self.a.encode_batch([" " + s for s in stretches], add_special_tokens=False)
-        other = self.b.encode(stretches, num_threads=1)
-        return [(x.ids, list(y)) for x, y in zip(own, other)]
-
-    def whole(self, stretch: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
-        """(n_a, n_b, n_groups, n_links, groups, pairs) of a stretch, both of whose ends are common; None if bytes differ."""
-        raw = b" " + stretch.encode("utf-8", "surrogatepass")
-        own = [self.a_bytes.get(i, b"") for i in ids_a]
-        other = [self.b_bytes[i] for i in ids_b]
-        if b"".join(own) != raw or b"".join(other) != raw:
-            return None
-        f = closed(fragment(ids_a, np.cumsum([len(t) for t in own]), ids_b, np.cumsum([len(t) for t in other]), 0, len(raw)))
-        return f.n_a, f.n_b, f.n_groups, f.n_links, ";".join(f.groups), tuple(f.pairs.items())
-
-    def learn(self, stretches: set[str]) -> dict[str, tuple | None]:
-        """Fragments of all these stretches, those not kept being encoded in batches."""
-        seen = self.seen
-        out = {s: seen[s] for s in stretches if s in seen}
-        new = [s for s in stretches if s not in out]
-        for lo in range(0, len(new), 2000):
-            part = new[lo:lo + 2000]
-            for s, (ids_a, ids_b) in zip(part, self.tokens(part)):
-                out[s] = value = self.whole(s, ids_a, ids_b)
-                if len(s) < 100:
-                    if len(seen) >= CACHE or self.size > CACHE_CHARS:
-                        seen.clear()
-                        self.size = 0
-                    seen[s] = value
-                    self.size += len(s)
+        # A mark behind a letter begins a match of the first tokenizer, and a piece of the second unless one goes on with it.
+        inside = {y for p in pieces for x, y in zip(p, p[1:]) if x.isalpha()}
+        self.marks = [m for m in ".,;:!?" if m not in inside]
+        self.neutral = len(self.b.encode("\n"))
+        self.a_size, self.b_size = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
+        self.a_text, self.b_text = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
+        self.seen: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
+
+    def stretches(self, text: str) -> list[str]:
+        """A space and the text, cut before each single space or line break between two other characters."""
+        if not text:
+            return []
+        if _ODD(text):
+            return [s for x in _CUT(text) for s in _LINES(" " + x)]
+        return (" " + text).replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")[1:] if "\x1f" not in text else [" " + x for x in text.split(" ")]
+
+    def tokens(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of each stretch by both tokenizers; the second one is kept from adding a space."""
+        own = self.a.encode_batch(stretches, add_special_tokens=False)
+        other = self.b.encode(["\n" + s for s in stretches], num_threads=1)
+        return [x.ids for x in own], [x[self.neutral:] for x in other]
+
+    def fragments(self, stretches: list[str]) -> list[tuple]:
+        """(n_a, n_b, n_groups, n_links, groups, pairs with repeats) of each stretch, whose ends are common; n_a is -1 if bytes differ.
+
+        The same as closed(fragment(...)) of the stretch's whole range, for many stretches in one walk over arrays.
+        """
+        raw = [s.encode("utf-8", "surrogatepass") for s in stretches]
+        ids_a, ids_b = self.tokens(stretches)
+        size = np.array([len(r) for r in raw])
+        right = np.ones(len(raw), bool)
+        sums = []
+        for ids, sizes, texts in ((ids_a, self.a_size, self.a_bytes), (ids_b, self.b_size, self.b_bytes)):
+            flat = np.fromiter(chain.from_iterable(ids), np.int64)
+            n = np.array([len(x) for x in ids])
+            at = np.repeat(np.arange(len(raw)), n)
+            right &= np.bincount(at, sizes[flat], len(raw)) == size
+            sums.append((flat, n, at, sizes))
+        for ids, texts in ((ids_a, self.a_bytes), (ids_b, self.b_bytes)):
+            if not right.all() or b"".join([texts[i] for x in ids for i in x]) != b"".join(raw):
+                right &= np.array([b"".join([texts[i] for i in x]) == r for x, r in zip(ids, raw)], bool)
+        if not right.all():
+            good = [s for s, ok in zip(stretches, right) if ok]
+            found = iter(self.fragments(good) if good else [])
+            return [next(found) if ok else WRONG for ok in right]
+        (a, n_a, at_a, size_a), (b, n_b, _, size_b) = sums
+        ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        in_b = np.bincount(group_b, minlength=len(cuts))
+        begin_b = np.cumsum(in_b) - in_b
+        n_groups = np.diff(np.searchsorted(cuts, np.cumsum(size), side="right"), prepend=0)
+        links = in_b[group_a]  # of each token of the first tokenizer
+        n_links = np.bincount(at_a, links, len(raw)).astype(np.int64)
+        step = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
+        codes = (np.repeat(a, links) * len(self.b_bytes) + b[np.repeat(begin_b[group_a], links) + step]).tolist()
+        text_a, text_b = [self.a_text[i] for i in a.tolist()], [self.b_text[i] for i in b.tolist()]
+        hi_a, hi_b = np.searchsorted(ends_a, cuts, side="right").tolist(), np.searchsorted(ends_b, cuts, side="right").tolist()
+        groups = [f"{text_a[x] if y - x == 1 else ','.join(text_a[x:y])}|{text_b[p] if q - p == 1 else ','.join(text_b[p:q])}"
+                  for x, y, p, q in zip([0, *hi_a], hi_a, [0, *hi_b], hi_b)]
+        out, g, k = [], 0, 0
+        for na, nb, ng, nl in zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist()):
+            out.append((na, nb, ng, nl, groups[g] if ng == 1 else ";".join(groups[g:g + ng]), tuple(codes[k:k + nl])))
+            g, k = g + ng, k + nl
+        return out
+
+    def learn(self, stretches: set[str]) -> dict[str, tuple]:
+        """Fragments of all these stretches, those not kept being encoded in batches; the cache has two generations."""
+        young, old = self.seen, self.before
+        out, new, ended = {}, [], []
+
+        def kept(s: str) -> tuple | None:
+            value = young.get(s)
+            if value is None and (value := old.get(s)) is not None:
+                young[s] = value
+            return value
+
+        for s in stretches:
+            if s[-1] in self.marks and s[-2:-1].isalpha():
+                ended.append(s)
+            elif (value := kept(s)) is None:
+                new.append(s)
+            else:
+                out[s] = value
+        heads = {}
+        for s in chain((s[:-1] for s in ended), self.marks):
+            if s not in out and s not in heads and (value := kept(s)) is not None:
+                heads[s] = value
+        new += {s for s in chain((s[:-1] for s in ended), self.marks if ended else ()) if s not in out and s not in heads} - set(new)
+        for lo in range(0, len(new), 8000):
+            part = new[lo:lo + 8000]
+            for s, value in zip(part, self.fragments(part)):
+                heads[s] = value
+                if len(s) < 60:
+                    young[s] = value
+        out.update((s, heads[s]) for s in new if s in stretches)
+        for s in ended:
+            x, y = heads.get(s[:-1]) or out[s[:-1]], heads.get(s[-1]) or out[s[-1]]
+            out[s] = (x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] + y[3], x[4] + ";" + y[4], x[5] + y[5]) if x[0] >= 0 <= y[0] else WRONG
+        if len(young) >= CACHE:
+            self.before, self.seen = young, {}
         return out
 
 
@@ -198,20 +274,14 @@ def tokenizers(a_path: str, b_path: str) -> Pair:
     return _pairs[key]
 
 
-_ODD = re.compile(r"\s\s|^\s|\s$").search
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
-
-
-def stretches(text: str) -> list[str]:
-    """The text cut at each single space between two other characters, without those spaces."""
-    return _CUT(text) if _ODD(text) else text.split(" ")
-
-
+_LINES = re.compile(r"(?<=\S)(?=\n\S)").split
 _SAFE = re.compile(r"(?<=\S) (?=\S)").search
+_ODD = re.compile(r"\s\s|^\s|\s$").search
 
 
 def parts(text: str, size: int) -> list[str]:
-    """Parts of about size characters, cut as stretches are; longer where there is no such place."""
+    """Parts of about size characters, cut at single spaces between two other characters; longer where there is none."""
     out, at = [], 0
     while len(text) - at > size and (m := _SAFE(text, at + size)):
         out.append(text[at:m.start()])
@@ -225,35 +295,54 @@ _PIECE = ("_u long, _doc long, _part long, _parts long, valid boolean, n_a long,
           "groups string, pa array<int>, pb array<int>, pk array<int>")
 
 
+def _digest(groups: str) -> str:
+    return hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+
+
 def _names(schema: str) -> list[str]:
     return [c.split(" ")[0] for c in schema.split(", ")]
 
 
-def _split_pairs(pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    codes = np.fromiter(pairs, np.int64, len(pairs))
-    k = np.fromiter(pairs.values(), np.int64, len(pairs))
-    order = np.argsort(codes)
-    codes = codes[order]
-    return (codes // SHIFT).astype(np.int32), (codes % SHIFT).astype(np.int32), k[order].astype(np.int32)
-
-
-def _piece(worker: Pair, texts: list[str]) -> Iterator[tuple]:
-    """The composed fragment of each text's stretches: their ends are common, so compose() comes to sums and one list of groups."""
-    cut = [stretches(t) if t else [] for t in texts]
-    known = worker.learn(set().union(*cut)) if cut else {}
-    for words in cut:
-        counts = Counter(words)
-        if not words or any(known[w] is None for w in counts):
-            yield not words, 0, 0, 0, 0, "", {}
-            continue
-        n_a = n_b = n_groups = n_links = 0
-        pairs: dict[int, int] = {}
-        for w, k in counts.items():
-            a, b, g, n, _, own = known[w]
-            n_a, n_b, n_groups, n_links = n_a + k * a, n_b + k * b, n_groups + k * g, n_links + k * n
-            for code, m in own:
-                pairs[code] = pairs.get(code, 0) + k * m
-        yield True, n_a, n_b, n_groups, n_links, ";".join([known[w][4] for w in words]), pairs
+def _pair_lists(pairs: dict[int, int]) -> list[pa.Array]:
+    codes = np.array(sorted(pairs), np.int64)
+    return [pa.array([x], pa.list_(pa.int32())) for x in (codes // SHIFT, codes % SHIFT, [pairs[c] for c in codes.tolist()])]
+
+
+def _composed(worker: Pair, texts: list[str]) -> tuple[list[bool], list[np.ndarray], list[str], list[pa.ListArray]]:
+    """Whether each text's bytes are right, its sums, its groups, and its distinct pairs with their numbers.
+
+    The ends of stretches are common, so composing their fragments comes to sums and one list of groups.
+    """
+    cut = [worker.stretches(t) for t in texts]
+    known = worker.learn(set().union(*cut))
+    index = {w: i for i, w in enumerate(known)}
+    value = list(known.values())
+    places = [[index[w] for w in words] for words in cut]
+    at = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+    word = np.fromiter(chain.from_iterable(places), np.int64, len(at))
+    sums = np.array([v[:4] for v in value], np.int64).reshape(-1, 4)
+    wrong = np.bincount(at, sums[word, 0] < 0, len(texts)) > 0
+    ok = ~wrong[at]
+    at, word = at[ok], word[ok]
+    both, times = np.unique(at * max(len(value), 1) + word, return_counts=True)
+    at, word = both // max(len(value), 1), both % max(len(value), 1)
+    totals = [np.bincount(at, sums[word, i] * times, len(texts)).astype(np.int64) for i in range(4)]
+    codes = np.fromiter(chain.from_iterable(v[5] for v in value), np.int64)
+    links = np.maximum(sums[:, 3], 0)
+    begin, n = np.cumsum(links) - links, links[word]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    base = len(worker.a_bytes) * len(worker.b_bytes)
+    key = np.repeat(at, n) * base + codes[np.repeat(begin[word], n) + step]
+    order = np.argsort(key, kind="stable")
+    key, k = key[order], np.repeat(times, n)[order]
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    k = np.add.reduceat(k, heads) if len(heads) else np.empty(0, np.int64)
+    key = key[heads]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(key // base, minlength=len(texts)))]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32)))
+             for x in (key % base // len(worker.b_bytes), key % base % len(worker.b_bytes), k)]
+    group = [v[4] for v in value]
+    return (~wrong).tolist(), totals, ["" if bad else ";".join([group[i] for i in p]) for bad, p in zip(wrong, places)], lists
 
 
 def pieces(documents: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, part_chars: int) -> DataFrame:
@@ -285,13 +374,11 @@ def pieces(documents: DataFrame, a_path: str, b_path: str, id_col: str, text_col
                     texts.append(b.column(4)[hi].as_py())
                     size += len(texts[-1])
                     hi += 1
-                rows = [(valid, *sums, groups if b.column(3)[lo + i].as_py() > 1 else hashlib.sha256(groups.encode()).hexdigest() if groups else "",
-                         *_split_pairs(pairs)) for i, (valid, *sums, groups, pairs) in enumerate(_piece(worker, texts))]
-                columns = list(zip(*rows))
+                valid, sums, groups, pairs = _composed(worker, texts)
+                whole = b.column(3).slice(lo, hi - lo).to_pylist()
+                groups = [g if n > 1 else _digest(g) for g, n in zip(groups, whole)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(i).slice(lo, hi - lo) for i in range(4)), pa.array(columns[0], pa.bool_()),
-                     *(pa.array(columns[i], pa.int64()) for i in range(1, 5)), pa.array(columns[5], pa.string()),
-                     *(pa.array(columns[i], pa.list_(pa.int32())) for i in range(6, 9))], _names(_PIECE))
+                    [*(b.column(i).slice(lo, hi - lo) for i in range(4)), pa.array(valid, pa.bool_()), *map(pa.array, sums), pa.array(groups, pa.string()), *pairs], _names(_PIECE))
                 lo = hi
 
     def compose_level(t: pa.Table) -> pa.Table:
@@ -303,12 +390,12 @@ def pieces(documents: DataFrame, a_path: str, b_path: str, id_col: str, text_col
             whole = compose(whole, Fragment(cut=True, groups=[r["groups"]], pairs=codes, **{c: r[c] for c in SUMS}))
         text = ";".join(whole.groups)
         if len(rows) == first["_parts"]:
-            text = hashlib.sha256(text.encode()).hexdigest() if text else ""
+            text = _digest(text)
         return pa.Table.from_arrays(
             [pa.array([x], kind) for x, kind in zip(
                 [first["_u"], first["_doc"], first["_part"] // FAN, -(-first["_parts"] // FAN), valid, *(getattr(whole, c) for c in SUMS), text],
                 [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 4 + [pa.string()])]
-            + [pa.array([x], pa.list_(pa.int32())) for x in _split_pairs(whole.pairs)], names=_names(_PIECE))
+            + _pair_lists(whole.pairs), names=_names(_PIECE))
 
     long = F.char_length("_text") > part_chars
     short_rows = numbered.where(~long).select("_u", "_doc", F.lit(0).cast("long").alias("_part"), F.lit(1).cast("long").alias("_parts"), "_text")
