@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import alignment, bpe, decontaminate, pii, quality, secrets, simhash, spans, toolcalls, urlfilter, vectors
+from fitloom.llm import alignment, bpe, decontaminate, pii, quality, secrets, simhash, spans, spelling, toolcalls, urlfilter, vectors
 from fitloom.llm.common import table
 
 #: Fixed values of the URL rules: verdict, host, path.
@@ -76,12 +76,16 @@ def op10_projection_passes(spark: SparkSession, d: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, d, "embeddings"))
 
 
+def op11_trie_frontier(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.group_variants(table(spark, d, "documents"))
+
+
 def op13_fragment_monoid(spark: SparkSession, d: str) -> DataFrame:
     return alignment.align(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_sentence_spans, op3_benchmark_index, op4_simhash_anchors, op5_byte_bpe,
-                                   op6_secret_forest, op7_url_trie, op8_pii_boosting, op9_quality_network, op10_projection_passes, op13_fragment_monoid)}
+                                   op6_secret_forest, op7_url_trie, op8_pii_boosting, op9_quality_network, op10_projection_passes, op11_trie_frontier, op13_fragment_monoid)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -131,6 +135,39 @@ ORACLE = {
           SELECT page_id, arg_max(h || p, len(h || p)) AS rule, arg_max(verdict, len(h || p)) AS verdict
           FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (page_id)""",
+    # The crc32 of a string is a walk over its bytes with the table of the reversed polynomial 0xEDB88320.
+    "op11_trie_frontier": r"""
+        WITH RECURSIVE steps(i, k, c) AS (
+          SELECT i, 0, i FROM range(256) r(i) UNION ALL
+          SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+        t AS (SELECT list(c ORDER BY i) AS crc FROM steps WHERE k = 8),
+        runs AS (
+          SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+          FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+        hashed AS (
+          SELECT run, k, xor(4294967295, list_reduce(
+            list_transform(range(1, strlen(s) + 1), lambda i: ('0x' || hex(encode(s))[2 * i - 1:2 * i])::BIGINT),
+            lambda h, b: xor(h >> 8, crc[xor(h & 255, b) + 1]), 4294967295)) AS h
+          FROM (SELECT run, k, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM runs WHERE length(run) >= 6), t),
+        words AS (
+          SELECT CASE WHEN h % 199 = 0 THEN run[:(h % length(run))::BIGINT] || run[(h % length(run))::BIGINT + 2:] ELSE run END AS word, sum(k)::BIGINT AS n
+          FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND n >= 5),
+        keys AS (
+          SELECT word, n, i, word[:i - 1] || chr(1) || word[i + 1:] AS k FROM words, range(1, 10000) r(i) WHERE i <= length(word)
+          UNION ALL SELECT word, n, i, word[:i - 1] || word[i + 1:] FROM words, range(1, 10000) r(i) WHERE i <= length(word)),
+        pairs AS (
+          SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM keys a JOIN keys b USING (k) WHERE a.word <> b.word AND length(a.word) = length(b.word) AND contains(k, chr(1))
+          UNION SELECT a.word, b.word, b.n FROM keys a JOIN words b ON a.k = b.word
+          UNION SELECT b.word, a.word, a.n FROM keys a JOIN words b ON a.k = b.word),
+        best AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM pairs GROUP BY word),
+        forms AS (
+          SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN most END AS form_n,
+                 CASE WHEN most >= 5 * w.n THEN (SELECT min(near) FROM pairs p WHERE p.word = w.word AND p.near_n = best.most) END AS form
+          FROM words w LEFT JOIN best USING (word)),
+        chain(word, place, hops) AS (
+          SELECT word, word, 0 FROM forms UNION ALL SELECT c.word, f.form, hops + 1 FROM chain c JOIN forms f ON f.word = c.place WHERE f.form IS NOT NULL),
+        roots AS (SELECT word, arg_max(place, hops) AS root FROM chain GROUP BY word)
+        SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM forms JOIN roots USING (word)""",
     "op10_projection_passes": """
         WITH RECURSIVE v AS (
           SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
