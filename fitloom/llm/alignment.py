@@ -38,12 +38,12 @@ from fitloom.llm.common import stored
 #: Fragments that are composed into one at each level of the tree, and the code points of a part.
 FAN, PART_CHARS = 16, 200_000
 #: Stretches from which a task's cache begins its next generation; pairs whose counts are broadcast.
-CACHE, HOT_PAIRS = 120_000, 1 << 20
+CACHE, HOT_PAIRS = 200_000, 1 << 20
 #: An id pair is one number: the first id times SHIFT plus the second.
 SHIFT = 1 << 31
 MARK = "▁"
 #: What stands for a stretch whose bytes differ.
-WRONG = (-1, 0, 0, 0, "", ())
+WRONG = (-1, 0, 0, 0, "", b"")
 SUMS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -171,40 +171,52 @@ class Pair:
         """A space and the text, cut before each single space or line break between two other characters."""
         if not text:
             return []
-        if _ODD(text):
+        if "\x1f" in text or len(text.split()) - 1 != text.count(" ") + text.count("\n"):
             return [s for x in _CUT(text) for s in _LINES(" " + x)]
-        return (" " + text).replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")[1:] if "\x1f" not in text else [" " + x for x in text.split(" ")]
-
-    def tokens(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each stretch by both tokenizers; the second one is kept from adding a space."""
-        own = self.a.encode_batch(stretches, add_special_tokens=False)
-        other = self.b.encode(["\n" + s for s in stretches], num_threads=1)
-        return [x.ids for x in own], [x[self.neutral:] for x in other]
+        # Each white space is one space or line break between two other characters.
+        return (" " + text).replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")[1:]
+
+    def joined(self, stretches: list[str], raw: list[bytes], size: np.ndarray) -> tuple | None:
+        """Ids of all stretches and the stretch of each, by both tokenizers, encoded as lines of one text; None if a line does not stand alone."""
+        stops, out = np.cumsum(size + 1) - 1, []
+        text = "\n".join(stretches)
+        whole = b"\n".join(raw)
+        for ids, sizes, texts in ((self.a.encode(text, add_special_tokens=False).ids, self.a_size, self.a_bytes),
+                                  (self.b.encode("\n" + text)[self.neutral:], self.b_size, self.b_bytes)):
+            if b"".join([texts[i] for i in ids]) != whole:
+                return None
+            flat = np.array(ids, np.int64)
+            ends = np.cumsum(sizes[flat])
+            place = np.searchsorted(stops, ends)
+            # A stretch's last token is followed by a break alone.
+            breaks = np.flatnonzero(ends == stops[place])[:-1] + 1
+            if len(breaks) != len(stretches) - 1 or (sizes[flat[breaks]] != 1).any():
+                return None
+            keep = np.ones(len(flat), bool)
+            keep[breaks] = False
+            out += [flat[keep], place[keep]]
+        return tuple(out)
 
     def fragments(self, stretches: list[str]) -> list[tuple]:
-        """(n_a, n_b, n_groups, n_links, groups, pairs with repeats) of each stretch, whose ends are common; n_a is -1 if bytes differ.
+        """(n_a, n_b, n_groups, n_links, groups, pairs with repeats) of each stretch, whose ends are common; WRONG if bytes differ.
 
         The same as closed(fragment(...)) of the stretch's whole range, for many stretches in one walk over arrays.
         """
         raw = [s.encode("utf-8", "surrogatepass") for s in stretches]
-        ids_a, ids_b = self.tokens(stretches)
         size = np.array([len(r) for r in raw])
-        right = np.ones(len(raw), bool)
-        sums = []
-        for ids, sizes, texts in ((ids_a, self.a_size, self.a_bytes), (ids_b, self.b_size, self.b_bytes)):
-            flat = np.fromiter(chain.from_iterable(ids), np.int64)
-            n = np.array([len(x) for x in ids])
-            at = np.repeat(np.arange(len(raw)), n)
-            right &= np.bincount(at, sizes[flat], len(raw)) == size
-            sums.append((flat, n, at, sizes))
-        for ids, texts in ((ids_a, self.a_bytes), (ids_b, self.b_bytes)):
-            if not right.all() or b"".join([texts[i] for x in ids for i in x]) != b"".join(raw):
-                right &= np.array([b"".join([texts[i] for i in x]) == r for x, r in zip(ids, raw)], bool)
-        if not right.all():
-            good = [s for s, ok in zip(stretches, right) if ok]
-            found = iter(self.fragments(good) if good else [])
-            return [next(found) if ok else WRONG for ok in right]
-        (a, n_a, at_a, size_a), (b, n_b, _, size_b) = sums
+        tokens = self.joined(stretches, raw, size)
+        if tokens is None and len(stretches) > 1:
+            half = len(stretches) // 2
+            return self.fragments(stretches[:half]) + self.fragments(stretches[half:])
+        if tokens is None:  # a stretch with white space at an end, or one that a tokenizer changes
+            a = self.a.encode(stretches[0], add_special_tokens=False).ids
+            b = self.b.encode("\n" + stretches[0])[self.neutral:]
+            if b"".join([self.a_bytes[i] for i in a]) != raw[0] or b"".join([self.b_bytes[i] for i in b]) != raw[0]:
+                return [WRONG]
+            tokens = np.array(a, np.int64), np.zeros(len(a), np.int64), np.array(b, np.int64), np.zeros(len(b), np.int64)
+        a, at_a, b, at_b = tokens
+        n_a, n_b = np.bincount(at_a, minlength=len(raw)), np.bincount(at_b, minlength=len(raw))
+        size_a, size_b = self.a_size, self.b_size
         ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
@@ -214,14 +226,14 @@ class Pair:
         links = in_b[group_a]  # of each token of the first tokenizer
         n_links = np.bincount(at_a, links, len(raw)).astype(np.int64)
         step = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
-        codes = (np.repeat(a, links) * len(self.b_bytes) + b[np.repeat(begin_b[group_a], links) + step]).tolist()
+        codes = (np.repeat(a, links) * len(self.b_bytes) + b[np.repeat(begin_b[group_a], links) + step]).tobytes()
         text_a, text_b = [self.a_text[i] for i in a.tolist()], [self.b_text[i] for i in b.tolist()]
         hi_a, hi_b = np.searchsorted(ends_a, cuts, side="right").tolist(), np.searchsorted(ends_b, cuts, side="right").tolist()
         groups = [f"{text_a[x] if y - x == 1 else ','.join(text_a[x:y])}|{text_b[p] if q - p == 1 else ','.join(text_b[p:q])}"
                   for x, y, p, q in zip([0, *hi_a], hi_a, [0, *hi_b], hi_b)]
         out, g, k = [], 0, 0
         for na, nb, ng, nl in zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist()):
-            out.append((na, nb, ng, nl, groups[g] if ng == 1 else ";".join(groups[g:g + ng]), tuple(codes[k:k + nl])))
+            out.append((na, nb, ng, nl, groups[g] if ng == 1 else ";".join(groups[g:g + ng]), codes[8 * k:8 * (k + nl)]))
             g, k = g + ng, k + nl
         return out
 
@@ -277,7 +289,6 @@ def tokenizers(a_path: str, b_path: str) -> Pair:
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 _LINES = re.compile(r"(?<=\S)(?=\n\S)").split
 _SAFE = re.compile(r"(?<=\S) (?=\S)").search
-_ODD = re.compile(r"\s\s|^\s|\s$").search
 
 
 def parts(text: str, size: int) -> list[str]:
@@ -327,7 +338,7 @@ def _composed(worker: Pair, texts: list[str]) -> tuple[list[bool], list[np.ndarr
     both, times = np.unique(at * max(len(value), 1) + word, return_counts=True)
     at, word = both // max(len(value), 1), both % max(len(value), 1)
     totals = [np.bincount(at, sums[word, i] * times, len(texts)).astype(np.int64) for i in range(4)]
-    codes = np.fromiter(chain.from_iterable(v[5] for v in value), np.int64)
+    codes = np.frombuffer(b"".join([v[5] for v in value]), np.int64)
     links = np.maximum(sums[:, 3], 0)
     begin, n = np.cumsum(links) - links, links[word]
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
