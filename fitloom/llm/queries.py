@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import alignment, bpe, decontaminate, pii, quality, secrets, simhash, spans, spelling, toolcalls, urlfilter, vectors
+from fitloom.llm import alignment, bpe, decontaminate, maxent, pii, quality, secrets, simhash, spans, spelling, toolcalls, urlfilter, vectors
 from fitloom.llm.common import table
 
 #: Fixed values of the URL rules: verdict, host, path.
@@ -80,12 +80,16 @@ def op11_trie_frontier(spark: SparkSession, d: str) -> DataFrame:
     return spelling.group_variants(table(spark, d, "documents"))
 
 
+def op12_hashed_maxent(spark: SparkSession, d: str) -> DataFrame:
+    return maxent.score(table(spark, d, "documents"))
+
+
 def op13_fragment_monoid(spark: SparkSession, d: str) -> DataFrame:
     return alignment.align(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_sentence_spans, op3_benchmark_index, op4_simhash_anchors, op5_byte_bpe,
-                                   op6_secret_forest, op7_url_trie, op8_pii_boosting, op9_quality_network, op10_projection_passes, op11_trie_frontier, op13_fragment_monoid)}
+                                   op6_secret_forest, op7_url_trie, op8_pii_boosting, op9_quality_network, op10_projection_passes, op11_trie_frontier, op12_hashed_maxent, op13_fragment_monoid)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
