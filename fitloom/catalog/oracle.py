@@ -540,6 +540,7 @@ ORACLE["load_per_resume"] = """
 SELECT o_custkey::VARCHAR AS resume_id, o_orderpriority AS link, 'House of ' || o_orderstatus AS company,
   (o_orderkey % 10)::INT AS match_score, strftime(o_orderdate, '%Y-%m-%d') AS date_found, 'Internship' AS job_type
 FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) = 1"""
+ORACLE["load_bucketed"] = ORACLE["load_per_resume"]
 ORACLE["load_counts"] = """
 WITH k AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'),
 a AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus <> 'P'),
@@ -639,6 +640,11 @@ ORACLE["topn_documents"] = " UNION ALL ".join(
     f"length({body}) AS n_chars FROM {_documents(False)}"
     for kind, body in (("cover_letter", _LETTER), ("tailored_resume", _NOTES))
 )
+ORACLE["documents_replaced"] = " UNION ALL ".join(
+    f"SELECT resume_id, posting_id, '{kind}' AS kind, folder || '/{kind}_' || file || '_' || posting_id AS path_key, "
+    f"md5({body}) AS body_hash FROM {_documents(repeats)}"
+    for kind, body, repeats in (("cover_letter", _LETTER, False), ("tailored_resume", _NOTES, False))
+)
 ORACLE["shared_paths"] = f"""
 SELECT resume_id, folder, file, count(*) AS n FROM {_documents(False)} GROUP BY ALL HAVING count(*) > 1"""
 

@@ -473,6 +473,16 @@ def load_per_resume(spark, d):
     return store.read_jobs(spark, path).select("resume_id", "link", "company", "match_score", "date_found", "job_type")
 
 
+@query
+def load_bucketed(spark, d):
+    """Matches of all resumes loaded into a jobs table of 64 buckets: the urgent ones, all, and all once more; read back."""
+    matches = _order_matches(spark, d)
+    path = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    for part in (matches.where("link = '1-URGENT'"), matches, matches):
+        store.append_jobs(spark, path, part, [F.col("o_orderkey")], day(), F.lit("2026-03-12 00:00:00"), buckets=64)
+    return store.read_jobs(spark, path).select("resume_id", "link", "company", "match_score", "date_found", "job_type")
+
+
 @query
 def load_counts(spark, d):
     """Counts that two loads report: matches of filled orders, then all, those of pending ones without a company."""
@@ -599,6 +609,17 @@ def topn_documents(spark, d):
     return docs.select("resume_id", "posting_id", "kind", "path_key", F.length("body").alias("n_chars"))
 
 
+@query
+def documents_replaced(spark, d):
+    """Documents of the best two postings of each resume written a day before, then those of the best three; the stored table."""
+    top, profiles = _top_orders(spark, d), _profiles(spark, d)
+    docs = render.documents(top, profiles, day())
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    render.write_documents(render.documents(top.where("rank <= 2"), profiles, F.date_sub(day(), 1)), path)
+    render.write_documents(docs, path)
+    return render.read_documents(spark, path, docs).select("resume_id", "posting_id", "kind", "path_key", F.md5("body").alias("body_hash"))
+
+
 @query
 def render_letter(spark, d):
     docs = render.documents(_top_orders(spark, d), _profiles(spark, d), day())

@@ -11,7 +11,8 @@ from pyspark.errors import AnalysisException
 
 from fitloom import schemas
 from fitloom.functions.lexicons import JOB_STATUSES, SHEET_STATUSES
-from fitloom.operators import dedup
+from fitloom.operators import dedup, keyed
+from fitloom.session import stored_once
 
 DEFAULT_STATUS = "Not Applied"
 
@@ -28,9 +29,9 @@ class LoadCounts:
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table; an absent one reads as empty."""
+    """The stored table, however it is laid out; an absent one reads as empty."""
     try:
-        return spark.read.schema(schemas.JOBS).parquet(path)
+        return spark.read.schema(schemas.JOBS).parquet(path).select(*schemas.JOBS.names)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -83,22 +84,38 @@ def _observed(seen: Observation, name: str) -> int:
         return 0
 
 
+#: What a row of the jobs table is known by.
+JOB_KEY = ("resume_id", "link")
+
+
 def append_jobs(spark: SparkSession, path: str, rows: DataFrame, order: list[Column],
-                as_of: Column, created_at: Column) -> LoadCounts:
+                as_of: Column, created_at: Column, buckets: int | None = None) -> LoadCounts:
     """Append the rows whose link is not stored yet for their resume, in one write.
 
-    The counts are observed while that write runs; nothing is computed twice.
+    The counts are observed while that write runs; nothing is computed twice. A table that was begun with a number of
+    buckets is partitioned by its key, and each load reads the keys of those partitions alone that its own
+    keys fall into; the number is needed for the first load only.
     """
+    layout = keyed.layout_of(spark, path)
+    if buckets is not None:
+        layout = keyed.ensure_layout(spark, path, JOB_KEY, buckets)
     seen, stored = Observation(), Observation()
     checked = by_resume(rows).observe(
         seen,
         F.count(F.lit(1)).alias("n"),
         F.count_if(bad_row_reason().isNotNull()).alias("bad"),
     ).where(bad_row_reason().isNull())
-    new = dedup.select_new(checked, by_resume(read_jobs(spark, path)), order, group=["resume_id"])
-    as_jobs(new, as_of, created_at).observe(stored, F.count(F.lit(1)).alias("n")).write.mode(
-        "append"
-    ).parquet(path)
+    if layout is None:
+        new = dedup.select_new(checked, by_resume(read_jobs(spark, path)), order, group=["resume_id"])
+        as_jobs(new, as_of, created_at).observe(stored, F.count(F.lit(1)).alias("n")).write.mode(
+            "append"
+        ).parquet(path)
+    else:
+        named = checked.withColumn("link", F.coalesce("link", F.lit("")))
+        first = dedup.first_per_key(named, "link", order, ["resume_id"], "one_blank")
+        # Stored once: the buckets are looked up before the rows are joined.
+        placed = stored_once(layout.placed(as_jobs(first, as_of, created_at)))
+        keyed.append(keyed.new_rows(placed, path, layout).observe(stored, F.count(F.lit(1)).alias("n")), path)
     return LoadCounts(_observed(seen, "n"), _observed(stored, "n"), _observed(seen, "bad"))
 
 
