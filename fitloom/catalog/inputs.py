@@ -260,6 +260,21 @@ def raw_payloads(docs: DataFrame) -> DataFrame:
     )
 
 
+def damaged_payloads(docs: DataFrame) -> DataFrame:
+    """All payloads of the documents: French ones cut short, German ones not fetched, Spanish ones inside another object,
+    English ones of src3 with other names for title and text, the others as they are.
+    """
+    tagged = raw_payloads(docs).join(docs.select("doc_id", "lang", F.col("source").alias("src")), "doc_id")
+    renamed = F.replace(F.replace("body", F.lit('"title"'), F.lit('"heading"')), F.lit('"text"'), F.lit('"words"'))
+    body = (
+        F.when(F.col("lang") == "fr", F.expr("substr(body, 1, length(body) - 5)"))
+        .when(F.col("lang") == "es", F.concat(F.lit('{"other":'), "body", F.lit("}")))
+        .when((F.col("lang") == "en") & (F.col("src") == "src3"), renamed)
+        .otherwise(F.col("body"))
+    )
+    return tagged.withColumn("body", body).withColumn("status", F.when(F.col("lang") == "de", 500).otherwise(200)).drop("lang", "src")
+
+
 def project_text(c: Column) -> Column:
     """Documents rewritten into titled, bulleted and wrapped lines."""
     for a, b in ((". ", "\n- "), (" the ", "\nthe "), (" of ", " (of, 2023) "), (" in ", " (in, it) ")):

@@ -444,6 +444,20 @@ _FIRST = """SELECT *, row_number() OVER (PARTITION BY {group} link
 ORACLE["collect_postings"] = f"""
 SELECT link, source, role, title, company, location, md5(description) AS description, date_posted
 FROM ({_FIRST.format(group='', rows=_ALL)}) WHERE nth = 1 OR link = ''"""
+_KINDS = "(VALUES ('cards'), ('thread'), ('board_a'), ('board_b'), ('curated')) k(kind)"
+_DAMAGED = f"""
+SELECT doc_id, kind AS source, i AS place,
+  CASE WHEN lang = 'de' THEN 'not fetched' WHEN kind <> 'cards' AND lang = 'fr' THEN 'not JSON' WHEN kind <> 'cards' AND lang = 'es' THEN 'no list' END AS whole,
+  CASE WHEN kind = 'cards' THEN CASE WHEN {_strip('line')} = '' THEN 'no title' END
+    WHEN (src = 'src3' AND lang = 'en') OR (line = '' AND kind <> 'thread') THEN CASE WHEN kind IN ('thread', 'board_b') THEN 'no text' ELSE 'no title' END END AS reason
+FROM {_L}, {_KINDS}"""
+ORACLE["payload_rejects"] = f"""
+SELECT DISTINCT doc_id, source, NULL::INT AS place, whole AS reason FROM ({_DAMAGED}) WHERE whole IS NOT NULL
+UNION ALL SELECT doc_id, source, place::INT, reason FROM ({_DAMAGED}) WHERE whole IS NULL AND reason IS NOT NULL"""
+ORACLE["payload_accounts"] = f"""
+SELECT source, whole AS reason, count(DISTINCT doc_id) AS n_payloads, count(*) FILTER (whole IS NULL) AS n_items,
+  count(*) FILTER (whole IS NULL AND reason IS NOT NULL) AS n_rejected
+FROM ({_DAMAGED}) GROUP BY ALL"""
 ORACLE["markdown_table_state"] = rf"""
 WITH l AS (
   SELECT doc_id, i + 2 AS i, CASE WHEN contains(line, ' the ') THEN '| Company | Role | Location | Date |'

@@ -17,7 +17,7 @@ from fitloom.operators.roles import infer_roles, rule_matches
 from fitloom.plans import discovery, search
 from fitloom.plans.profiles import parse_profiles
 from fitloom.session import shared_dir
-from fitloom.sources import payloads as P
+from fitloom.sources import payloads as P, rejects
 from fitloom.streaming.ingest import ingest
 
 QUERIES: dict = {}
@@ -315,6 +315,17 @@ def collect_postings(spark, d):
     )
 
 
+@query
+def payload_rejects(spark, d):
+    return rejects.rejects(I.damaged_payloads(_docs(spark, d)), ["doc_id", "source"]).select("doc_id", "source", "place", "reason")
+
+
+@query
+def payload_accounts(spark, d):
+    return rejects.accounts(I.damaged_payloads(_docs(spark, d)), ["source"]).groupBy("source", "reason").agg(
+        F.count("*").alias("n_payloads"), F.sum("n_items").alias("n_items"), F.sum("n_rejected").alias("n_rejected"))
+
+
 @query
 def pipe_line_fields(spark, d):
     return _docs(spark, d).select(
