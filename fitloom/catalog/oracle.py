@@ -178,6 +178,11 @@ WHERE contains(lower(text), trig) GROUP BY {key}, rule_ord, role, need HAVING co
 
 ORACLE["role_rules"] = f"SELECT doc_id, role, matches FROM ({_rules('documents', 'doc_id')})"
 
+ORACLE["role_rules_table"] = ORACLE["role_rules"]
+ORACLE["lexicon_table_hits"] = """
+SELECT item_id, word FROM benchmark, (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents)
+WHERE word <> '' AND contains(lower(text), lower(word))"""
+
 
 def _ranked_roles(table: str, key: str) -> str:
     fallback = X.FALLBACK_ROLE
@@ -193,6 +198,7 @@ SELECT resume_id, rank, role, matches FROM (
 
 
 ORACLE["role_rank8"] = _ranked_roles("documents", "doc_id")
+ORACLE["role_rank_table"] = ORACLE["role_rank8"]
 ORACLE["role_search4"] = f"""
 SELECT role, count(*) AS n, sum(rank) AS rank_sum FROM ({ORACLE['role_rank8']}) WHERE rank <= 4 GROUP BY role"""
 

@@ -12,7 +12,7 @@ from fitloom.catalog.inputs import day, table
 from fitloom.functions import markup
 from fitloom.functions import text as X
 from fitloom.functions.lexicons import LIVE_LIMITS, SEARCH_ROLES
-from fitloom.operators import dedup, lines as L, matching as M, ranking as R, render, store
+from fitloom.operators import dedup, lexicon, lines as L, matching as M, ranking as R, render, store
 from fitloom.operators.roles import infer_roles, rule_matches
 from fitloom.plans import discovery, search
 from fitloom.plans.profiles import parse_profiles
@@ -150,6 +150,25 @@ def role_rules(spark, d):
     ).select("doc_id", "role", "matches")
 
 
+@query
+def role_rules_table(spark, d):
+    """The rules read as a table of triggers."""
+    return lexicon.match_rules(_docs(spark, d), lexicon.rules_table(spark, I.ROLE_RULES)).select("doc_id", "role", "matches")
+
+
+@query
+def role_rank_table(spark, d):
+    profiles = parse_profiles(I.doc_resumes(spark, d), I.PROFILE_TERMS)
+    return lexicon.infer_roles(profiles, lexicon.rules_table(spark, I.ROLE_RULES)).select("resume_id", "rank", "role", "matches")
+
+
+@query
+def lexicon_table_hits(spark, d):
+    """Every distinct word of the documents, as a lexicon, found as a substring in the benchmark texts."""
+    words = _docs(spark, d).select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return lexicon.table_hits(table(spark, d, "benchmark"), words, "item_id")
+
+
 def _roles(spark, d):
     return infer_roles(parse_profiles(I.doc_resumes(spark, d), I.PROFILE_TERMS), I.ROLE_RULES)
 
