@@ -40,10 +40,13 @@ ENDINGS, ROWS = 512, 1 << 17
 #: Words whose counts every task is sent; other words meet their counts in a join.
 SENT_WORDS = 1 << 17
 #: Tokens of a training task, of a minibatch, the step, and rows of weights in a block.
-TASK_TOKENS, BATCH, STEP, BLOCK = 2_000_000, 2048, 0.15, 1024
+TASK_TOKENS, BATCH, STEP, BLOCK = 2_000_000, 1024, 0.15, 1024
 COUNTED = 300_000
 END = b""
 _START = LEAVES
+#: A row of weights and a place in a minibatch share 32 bits.
+_PLACE_BITS = (LEVELS * BATCH).bit_length()
+assert ROWS << _PLACE_BITS <= 1 << 32
 _NODES = sum(WAYS ** k for k in range(LEVELS))
 
 
@@ -108,8 +111,9 @@ class Lexicon:
         """Logarithms of the masses below each branch of each node."""
         out, below = [], self.masses
         for _ in range(LEVELS):
-            out.append(np.log(below.reshape(-1, WAYS)))
-            below = below.reshape(-1, WAYS).sum(1)
+            branches = below.reshape(-1, WAYS)
+            below = branches.sum(1)
+            out.append(np.log(branches / below[:, None]))
         return np.concatenate(out[::-1]).astype(np.float32)
 
 
@@ -202,27 +206,28 @@ class Model:
         return np.stack(nodes), np.stack(digits)
 
     def forward(self, keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of weights (features x levels x tokens) and log chances of all branches (levels x tokens x WAYS)."""
+        """Rows of weights (features x levels x tokens) and the branches' exponentials, not yet divided by their sum (levels x tokens x WAYS)."""
         h = keys[:, None, :] ^ (nodes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         rows = ((h >> np.uint64(32)) & np.uint64(ROWS - 1)).astype(np.int64)
-        z = self.biases[nodes]
+        z = self.biases.take(nodes, axis=0)
         for f in range(len(rows)):
             z += self.weights.take(rows[f], axis=0)
-        z -= z.max(2, keepdims=True)
-        z -= np.log(np.exp(z).sum(2, keepdims=True))
-        return rows, z
+        # Biases are logarithms of chances, so sums stay small; the bounds only keep the exponentials finite and above zero.
+        np.clip(z, -80, 80, out=z)
+        return rows, np.exp(z, out=z)
 
     def scores(self, leaves: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 chance of each text of a slice."""
         keys, total = contexts(leaves, starts), np.empty(len(leaves))
         for lo in range(0, len(leaves), BATCH):
-            x = leaves[lo:lo + BATCH]
-            nodes, digits = self.tree(x)
-            _, z = self.forward(keys[:, lo:lo + BATCH], nodes)
-            total[lo:lo + BATCH] = np.take_along_axis(z, digits[..., None], 2)[..., 0].sum(0, dtype=np.float64)
-        return np.add.reduceat(total, starts) / math.log(10) if len(starts) else np.empty(0)
+            nodes, digits = self.tree(leaves[lo:lo + BATCH])
+            _, e = self.forward(keys[:, lo:lo + BATCH], nodes)
+            flat = e.reshape(-1, WAYS)
+            taken = flat[np.arange(len(flat)), digits.ravel()] / flat.sum(1)
+            total[lo:lo + BATCH] = np.log10(taken.astype(np.float64)).reshape(LEVELS, -1).sum(0)
+        return np.add.reduceat(total, starts) if len(starts) else np.empty(0)
 
 
 class Trainer(Model):
@@ -236,20 +241,28 @@ class Trainer(Model):
         keys = contexts(leaves, starts)
         for lo in range(0, len(leaves), BATCH):
             nodes, digits = self.tree(leaves[lo:lo + BATCH])
-            rows, z = self.forward(keys[:, lo:lo + BATCH], nodes)
-            g = np.exp(z)
-            np.put_along_axis(g, digits[..., None], np.take_along_axis(g, digits[..., None], 2) - 1, 2)
-            g = g.reshape(-1, WAYS)
+            rows, e = self.forward(keys[:, lo:lo + BATCH], nodes)
+            g = e.reshape(-1, WAYS)
+            g /= g.sum(1, keepdims=True)
+            places = np.arange(len(g))
+            g[places, digits.ravel()] -= 1
             # Row and place in one number: a plain sort is quicker than an indirect one.
-            packed = (rows.reshape(-1) << 32) | np.arange(rows.size)
+            packed = ((rows.reshape(len(rows), -1) << _PLACE_BITS) | places).ravel().astype(np.uint32)
             packed.sort()
-            ordered, order = packed >> 32, packed & 0xFFFFFFFF
+            ordered, order = packed >> _PLACE_BITS, packed & ((1 << _PLACE_BITS) - 1)
             heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
             at = ordered[heads]
-            step = np.add.reduceat(g.take(order % len(g), axis=0), heads, axis=0)
-            self.squares[at] += np.einsum("ij,ij->i", step, step) / WAYS
-            self.weights[at] -= step * (STEP / np.sqrt(self.squares[at]))[:, None]
-            self.met[at] += np.diff(np.append(heads, rows.size))
+            met = np.diff(np.append(heads, len(ordered)))
+            # Most rows are met once; only the others need a sum.
+            step, often = g.take(order.take(heads), axis=0), met > 1
+            if often.any():
+                runs = met[often]
+                step[often] = np.add.reduceat(g.take(order[np.repeat(often, met)], axis=0), np.cumsum(runs) - runs, axis=0)
+            squares = self.squares.take(at) + np.einsum("ij,ij->i", step, step) / WAYS
+            self.squares[at] = squares
+            step *= (STEP / np.sqrt(squares))[:, None]
+            self.weights[at] = self.weights.take(at, axis=0) - step
+            self.met[at] += met
 
 
 def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 300_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
