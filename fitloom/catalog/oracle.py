@@ -588,6 +588,7 @@ ORACLE["status_latest"] = """
 SELECT c_custkey AS link, coalesce(status, 'Not Applied') AS application_status FROM customer LEFT JOIN (
   SELECT user_id, event_type AS status FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) = 1) ON user_id = c_custkey"""
+ORACLE["status_snapshot"] = ORACLE["status_latest"]
 ORACLE["status_domain"] = """
 SELECT event_type IN ('view', 'click', 'signup') AS is_valid, count(*) AS n FROM events GROUP BY 1"""
 ORACLE["source_funnel"] = f"""

@@ -12,7 +12,7 @@ from fitloom.catalog.inputs import day, table
 from fitloom.functions import markup
 from fitloom.functions import text as X
 from fitloom.functions.lexicons import LIVE_LIMITS, SEARCH_ROLES
-from fitloom.operators import dedup, lexicon, lines as L, matching as M, ranking as R, render, store
+from fitloom.operators import dedup, lexicon, lines as L, matching as M, ranking as R, render, statuslog, store
 from fitloom.operators.roles import infer_roles, rule_matches
 from fitloom.plans import discovery, search
 from fitloom.plans.profiles import parse_profiles
@@ -577,6 +577,21 @@ def status_latest(spark, d):
     return store.latest_status(jobs, log).select("link", "application_status")
 
 
+@query
+def status_snapshot(spark, d):
+    """The events as a log by day, compacted at the middle of its days and again three quarters in, then read with its tail."""
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("link"), F.col("event_type").alias("status"), "ts")
+    folder = f"{shared_dir(spark)}/status-{uuid.uuid4().hex}"
+    kinds = [r[0] for r in log.select("status").distinct().collect()]
+    statuslog.record(log, f"{folder}/log", F.to_date("ts"), kinds)
+    first, last = log.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    for part in (2, 3):
+        statuslog.compact(spark, f"{folder}/log", f"{folder}/snapshots", (first + (last - first) * part // 4).isoformat())
+    jobs = table(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("link"), F.lit(store.DEFAULT_STATUS).alias("application_status"))
+    return statuslog.latest(jobs, f"{folder}/log", f"{folder}/snapshots").select(F.col("link").cast("long").alias("link"), "application_status")
+
+
 @query
 def status_domain(spark, d):
     return table(spark, d, "events").groupBy(
