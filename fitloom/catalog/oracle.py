@@ -711,3 +711,16 @@ SELECT '' AS resume_id, {_DAY} AS date_found, source AS company, lang AS title,
   sha256(text) AS description
 FROM documents LEFT JOIN (SELECT DISTINCT doc_id, TRUE AS known FROM labels) USING (doc_id)
 QUALIFY row_number() OVER (PARTITION BY text ORDER BY coalesce(known, FALSE) DESC, doc_id) = 1"""
+ORACLE["resume_files_stream"] = f"""
+WITH f AS (
+  SELECT doc_id // 32 AS file, {_strip('string_agg(text, chr(10) ORDER BY doc_id)')} AS text FROM documents GROUP BY 1
+)
+SELECT file, file % 2 AS run, CASE WHEN file % 8 <> 7 THEN md5(text) END AS text_hash,
+  CASE WHEN file % 8 <> 7 THEN {_found(I.LEXICON)} END AS languages, CASE WHEN file % 8 = 7 THEN 'unsupported format: .json' END AS reason
+FROM f d"""
+_LISTED = """
+SELECT o_custkey::VARCHAR AS resume_id, o_orderkey::VARCHAR AS link, (o_orderkey % 10)::INT AS match_score,
+  strftime(o_orderdate, '%Y-%m-%d') AS date_found, 'House of ' || o_orderstatus AS company FROM orders"""
+ORACLE["clustered_threshold"] = f"SELECT * FROM ({_LISTED}) WHERE match_score >= 9"
+ORACLE["clustered_page"] = f"""
+SELECT resume_id, link, match_score, date_found FROM ({_LISTED}) ORDER BY match_score DESC, date_found DESC, resume_id, link LIMIT 100 OFFSET 1000"""

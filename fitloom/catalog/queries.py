@@ -12,12 +12,13 @@ from fitloom.catalog.inputs import day, table
 from fitloom.functions import markup
 from fitloom.functions import text as X
 from fitloom.functions.lexicons import LIVE_LIMITS, SEARCH_ROLES
-from fitloom.operators import dedup, lexicon, lines as L, matching as M, ranking as R, render, statuslog, store
+from fitloom.operators import clustered, dedup, lexicon, lines as L, matching as M, ranking as R, render, statuslog, store
 from fitloom.operators.roles import infer_roles, rule_matches
 from fitloom.plans import discovery, search
 from fitloom.plans.profiles import parse_profiles
 from fitloom.session import shared_dir
 from fitloom.sources import payloads as P, rejects
+from fitloom.streaming import resumes as resume_stream
 from fitloom.streaming.ingest import ingest
 
 QUERIES: dict = {}
@@ -715,3 +716,45 @@ def stream_ingest(spark, d):
     store.append_jobs(spark, f"{folder}/jobs", postings(I.labelled(spark, d)), order, day(), stored_at)
     ingest(postings(stream), f"{folder}/jobs", f"{folder}/state", order, day(), stored_at, f"{folder}/rejects").awaitTermination()
     return store.read_jobs(spark, f"{folder}/jobs").drop("created_at")
+
+
+@query
+def resume_files_stream(spark, d):
+    """Documents written as files of 32 texts, every eighth file with an unknown suffix, landed and parsed in two runs."""
+    texts = _docs(spark, d).groupBy(F.floor(F.col("doc_id") / 32).alias("file")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda r: r["text"]), "\n").alias("value"))
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    for run in range(2):
+        part = texts.where(F.col("file") % 2 == run)
+        unknown = F.col("file") % 8 == 7
+        part.where(~unknown).write.partitionBy("file").text(f"{folder}/landing/{run}")
+        part.where(unknown).write.partitionBy("file").json(f"{folder}/landing/{run}-other")
+        resume_stream.ingest_resumes(spark, f"{folder}/landing", f"{folder}/out", f"{folder}/state", I.PROFILE_TERMS).awaitTermination()
+    number = F.regexp_extract("source_file", r"file=(\d+)/", 1).cast("long").alias("file")
+    known, bad = resume_stream.read_profiles(spark, f"{folder}/out"), resume_stream.read_quarantine(spark, f"{folder}/out")
+    return known.select(
+        number, F.col("batch_id").alias("run"), F.md5("raw_text").alias("text_hash"), F.array_join("programming_languages", ",").alias("languages"),
+        F.lit(None).cast("string").alias("reason"),
+    ).unionByName(bad.select(number, F.col("batch_id").alias("run"), F.lit(None).cast("string").alias("text_hash"),
+                             F.lit(None).cast("string").alias("languages"), "reason"))
+
+
+def _clustered(spark, d):
+    """A clustered table of all orders as jobs, added in two runs."""
+    path = f"{shared_dir(spark)}/clustered-{uuid.uuid4().hex}"
+    jobs = store.as_jobs(_order_matches(spark, d).withColumn("link", F.col("o_orderkey").cast("string")), day(), F.lit("2026-03-12 00:00:00"))
+    for part in (jobs.where("company = 'House of F'"), jobs.where("company <> 'House of F'")):
+        clustered.add(part, path, rows_per_block=10_000)
+    return path
+
+
+@query
+def clustered_threshold(spark, d):
+    """Jobs of nine points or more from the blocks that can hold them."""
+    return clustered.at_least(spark, _clustered(spark, d), 9).select("resume_id", "link", "match_score", "date_found", "company")
+
+
+@query
+def clustered_page(spark, d):
+    """The places 1,000 to 1,099 of the listing."""
+    return clustered.page(spark, _clustered(spark, d), 1000, 100).select("resume_id", "link", "match_score", "date_found")
