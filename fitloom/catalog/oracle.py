@@ -724,3 +724,7 @@ SELECT o_custkey::VARCHAR AS resume_id, o_orderkey::VARCHAR AS link, (o_orderkey
 ORACLE["clustered_threshold"] = f"SELECT * FROM ({_LISTED}) WHERE match_score >= 9"
 ORACLE["clustered_page"] = f"""
 SELECT resume_id, link, match_score, date_found FROM ({_LISTED}) ORDER BY match_score DESC, date_found DESC, resume_id, link LIMIT 100 OFFSET 1000"""
+ORACLE["stream_within_watermark"] = """
+SELECT event_id, 'user ' || user_id AS company, event_type AS title, strftime(ts, '%Y-%m-%d') AS date_found FROM events
+WHERE user_id % 2 = 0 OR ts >
+  (SELECT date_trunc('millisecond', max(ts)) FROM events WHERE user_id % 2 = 0) - INTERVAL 3 DAY"""

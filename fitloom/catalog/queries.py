@@ -18,7 +18,7 @@ from fitloom.plans import discovery, search
 from fitloom.plans.profiles import parse_profiles
 from fitloom.session import shared_dir
 from fitloom.sources import payloads as P, rejects
-from fitloom.streaming import resumes as resume_stream
+from fitloom.streaming import resumes as resume_stream, windowed
 from fitloom.streaming.ingest import ingest
 
 QUERIES: dict = {}
@@ -758,3 +758,23 @@ def clustered_threshold(spark, d):
 def clustered_page(spark, d):
     """The places 1,000 to 1,099 of the listing."""
     return clustered.page(spark, _clustered(spark, d), 1000, 100).select("resume_id", "link", "match_score", "date_found")
+
+
+@query
+def stream_within_watermark(spark, d):
+    """Events streamed with a watermark of three days: those of even users, then all, so that half are repeats and many of the others late."""
+    events = table(spark, d, "events")
+    folder = f"{shared_dir(spark)}/within-{uuid.uuid4().hex}"
+    text = lambda c: F.lit(None).cast("string").alias(c)
+
+    def postings(rows):
+        return rows.select(
+            F.col("event_id").cast("string").alias("link"), F.concat(F.lit("user "), "user_id").alias("company"), F.col("event_type").alias("title"),
+            F.col("ts").cast("timestamp").alias("ts"), *map(text, ("location", "type", "salary", "description")),
+            F.date_format("ts", "yyyy-MM-dd").alias("date_posted"), F.lit("events").alias("source"), F.lit(0).alias("match_score"))
+
+    for part in (events.where("user_id % 2 = 0"), events):
+        part.write.mode("append").parquet(f"{folder}/landing")
+        stream = postings(spark.readStream.schema(events.schema).parquet(f"{folder}/landing"))
+        windowed.ingest_within(stream, f"{folder}/stored", f"{folder}/state", "ts", "3 days", day(), F.lit("2026-03-12 00:00:00")).awaitTermination()
+    return windowed.read_stored(spark, f"{folder}/stored").select(F.col("link").cast("long").alias("event_id"), "company", "title", "date_found")

@@ -1,0 +1,41 @@
+from pyspark.sql import functions as F
+
+from fitloom.streaming import windowed as W
+
+SCHEMA = "link string, company string, title string, at string, location string, type string, salary string, description string, date_posted string, source string, match_score int"
+
+
+def land(spark, landing, *rows, company="c"):
+    made = [(link, company, f"t{i}", at and f"2026-01-{at}", *[None] * 7) for i, (link, at) in enumerate(rows)]
+    spark.createDataFrame(made, SCHEMA).withColumn("at", F.to_timestamp("at", "yyyy-MM-dd HH:mm")).coalesce(1).write.mode("append").parquet(landing)
+
+
+def run(spark, tmp_path):
+    landing, out, state = (str(tmp_path / n) for n in ("landing", "out", "state"))
+    schema = SCHEMA.replace("at string", "at timestamp", 1)
+    W.ingest_within(spark.readStream.schema(schema).parquet(landing), out, state, "at", "2 hours", F.lit("2026-03-12").cast("date"),
+                    F.lit("2026-03-12 00:00:00")).awaitTermination()
+    return sorted(r.link for r in W.read_stored(spark, out).collect())
+
+
+def test_repeats_late_rows_and_forgotten_keys(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    land(spark, landing, ("a", "05 10:00"), ("a", "05 10:30"), ("b", "05 11:00"), (None, "05 11:00"), ("n", None))
+    assert run(spark, tmp_path) == ["", "a", "b"]
+    # The watermark stands at 9:00: the row of 8:59 is late, the other repeats are known.
+    land(spark, landing, ("c", "05 08:59"), ("a", "05 11:30"), ("b", "05 09:30"), ("d", "05 09:01"))
+    assert run(spark, tmp_path) == ["", "a", "b", "d"]
+    land(spark, landing, ("e", "06 10:00"))
+    assert run(spark, tmp_path) == ["", "a", "b", "d", "e"]
+    # A day on, the keys of the day before are forgotten: a new event with an old key is stored again.
+    land(spark, landing, ("a", "06 09:00"), ("b", "05 11:00"))
+    assert run(spark, tmp_path) == ["", "a", "a", "b", "d", "e"]
+    assert run(spark, tmp_path) == ["", "a", "a", "b", "d", "e"]
+
+
+def test_rows_that_cannot_be_stored(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    land(spark, landing, ("a", "05 10:00"), company=None)
+    assert run(spark, tmp_path) == []
+    land(spark, landing, ("a", "05 10:00"))
+    assert run(spark, tmp_path) == ["a"]
