@@ -1,14 +1,15 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Equal vectors are one class. Each pass sorts the classes by 64 sign bits of random projections, read as
-one string of bits, and compares every class with the window before it. A pair counts in the first
-pass whose window holds it, so passes report counts and a spanning set of links, never all pairs. The number
-of passes follows from the number of classes: at least ten, and so many that of pairs at just the threshold among
-evenly spread vectors at most MISS are in no window. Crowded regions can lose more. Links are
-joined across passes to components. Within every component of three or more classes links are counted exactly:
+Vectors of one length are compared with each other; equal ones are one class. Each pass sorts the classes of a length by 64 sign
+bits of random projections, read as one string of bits, and compares every class with the window before it. The mean of a length's
+unit vectors is taken off before the signs, so that vectors that share a direction do not share their bits; cosines are those of
+the vectors as given. Passes report a spanning set of links, never all pairs. The number of passes follows from the number of
+classes and their mean cosine: at least ten, and so many that of pairs at just the threshold among vectors spread evenly around
+their mean at most MISS are in no window. Crowded regions, and mean cosines above about 0.71, can lose more. Links are
+joined across passes to components. Within every component of several classes links are counted exactly:
 its classes are compared in a grid of blocks, counts only; components of one block share tasks.
 
-Vectors that are null, zero, of another length than most, or hold nulls or non-finite numbers link with
+Vectors that are null, zero, or hold nulls or non-finite numbers link with
 nothing; rows without an id link with nothing and have no component. Rows that repeat an id
 are one vector, which holds the links of all of them. Cosines are in double precision. Other columns are ignored.
 """
@@ -29,19 +30,23 @@ from fitloom.operators.ranking import row_index
 BITS, BLOCK, GRID = 64, 1024, 2048
 #: The passes there always are, and the share of pairs at the threshold that may be in no window of any pass.
 LEAST_PASSES, MISS = 10, 0.01
+#: The least cosine, after the mean is taken off, that passes are numbered for.
+LEAST_CENTRED = 0.65
 
 
-def passes_for(classes: int, window: int = 64, threshold: float = 0.9, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold is in no window with probability miss, vectors being evenly spread."""
+def passes_for(classes: int, window: int = 64, threshold: float = 0.9, miss: float = MISS, mean_cosine: float = 0.0) -> int:
+    """Passes after which a pair at the threshold is in no window with probability miss, vectors being evenly spread around their mean."""
     # A window holds the classes that share the first log2(classes / window) sign bits; each agrees with p.
-    p = 1 - math.acos(threshold) / math.pi
+    centred = (threshold - mean_cosine) / (1 - mean_cosine) if mean_cosine < threshold else 0.0
+    p = 1 - math.acos(max(centred, LEAST_CENTRED)) / math.pi
     found = min(p ** max(math.log2(max(classes, 1) / window), 0), 1 - 1e-9)
     return max(LEAST_PASSES, math.ceil(math.log(miss) / math.log(1 - found)))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and v (doubles) of the rows that can link."""
-    v = F.col(vec_col).cast("array<double>")
+    """vec_id and v (floats as given, else doubles) of the rows that can link."""
+    kind = vectors.select(vec_col).schema[0].dataType.simpleString()
+    v = F.col(vec_col) if kind == "array<float>" else F.col(vec_col).cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
@@ -54,9 +59,6 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     """(rep, n, v) per distinct vector, and (vec_id, rep) per row; rep is the class's smallest id."""
     rows = usable(vectors, id_col, vec_col).distinct()
     reps = stored(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    length = reps.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "d").first()
-    if length:
-        reps = reps.where(F.size("v") == length["d"])
     return reps, rows.join(reps.select("v", "rep"), "v").select("vec_id", "rep")
 
 
@@ -66,19 +68,40 @@ def unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def sort_keys(reps: DataFrame, passes: int, seed: int = 5) -> DataFrame:
-    """One row per class and pass: pass, key (sign bits as an ordered long), rep."""
+def directions(reps: DataFrame) -> DataFrame:
+    """(d, classes, mean) per length: how many classes it has and the mean of their unit vectors."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            x = unit(b["v"])
-            for p in range(passes):
-                planes = np.random.default_rng([seed, p]).normal(size=(x.shape[1], BITS))
-                bits = np.packbits(x @ planes > 0, axis=1).view(">u8")[:, 0].astype(np.uint64)
-                yield pd.DataFrame({"pass": np.int32(p), "key": (bits ^ np.uint64(1 << 63)).view(np.int64), "rep": b["rep"]})
+            for d, part in b.groupby("d"):
+                yield pd.DataFrame({"d": d, "classes": len(part), "at": np.arange(d), "x": unit(part["v"]).sum(axis=0)})
 
-    return reps.select("rep", "v").mapInPandas(run, "pass int, key long, rep long")
+    sums = reps.select(F.size("v").alias("d"), "v").mapInPandas(run, "d int, classes long, at int, x double")
+    means = sums.groupBy("d", "at").agg(F.sum("classes").alias("classes"), (F.sum("x") / F.sum("classes")).alias("x"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "x")))
+    return means.groupBy("d").agg(F.first("classes").alias("classes"), F.transform(listed, lambda m: m["x"]).alias("mean"))
+
+
+def sign_bits(x: np.ndarray, mean: np.ndarray, p: int, seed: int = 5) -> np.ndarray:
+    """A pass's sort key per unit vector, as an ordered long."""
+    planes = np.random.default_rng([seed, p]).normal(size=(x.shape[1], BITS))
+    bits = np.packbits((x - mean) @ planes > 0, axis=1).view(">u8")[:, 0].astype(np.uint64)
+    return (bits ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def sort_keys(reps: DataFrame, passes: int | None, window: int, threshold: float) -> DataFrame:
+    """One row per class and pass: d (the length), pass, key (sign bits as an ordered long), rep."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for d, part in b.groupby("d"):
+                x, mean = unit(part["v"]), np.array(part["mean"].iloc[0])
+                count = passes or passes_for(int(part["classes"].iloc[0]), window, threshold, mean_cosine=float(mean @ mean))
+                for p in range(count):
+                    yield pd.DataFrame({"d": d, "pass": np.int32(p), "key": sign_bits(x, mean, p), "rep": part["rep"]})
+
+    # Stored: sums of doubles depend on their order, and all keys must come from one mean.
+    shapes = stored(directions(reps))
+    return reps.withColumn("d", F.size("v")).join(shapes, "d").select("d", "classes", "mean", "rep", "v").mapInPandas(
+        run, "d int, pass int, key long, rep long")
 
 
 class Joined:
@@ -99,33 +122,28 @@ class Joined:
         return i != j
 
 
-def window_links(ranked: DataFrame, threshold: float, window: int) -> DataFrame:
-    """Rows (rep, other, n): with other, a link; without, n more linked vectors of rep."""
+def window_links(ranked: DataFrame, reps: DataFrame, threshold: float, window: int) -> DataFrame:
+    """Links (a, b) that span the linked classes of every block of a pass. ranked: d, pass, rep, rank."""
     home = F.floor(F.col("rank") / BLOCK)
     late = (F.col("rank") % BLOCK) >= BLOCK - window
-    placed = ranked.select(
-        "rank", "pass", "rep", "n", "v", "ranks",
+    placed = ranked.join(reps.select("rep", "v"), "rep").select(
+        "d", "rank", "pass", "rep", "v",
         F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))).alias("block"),
     )
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("rank", ignore_index=True)
         rank, own, which = b["rank"].to_numpy(), (b["rank"] // BLOCK == b["block"]).to_numpy(), b["pass"].to_numpy()
-        x, ranks = unit(b["v"]), np.stack(b["ranks"]).astype(np.int64)
+        x, rep = unit(b["v"]), b["rep"].to_numpy()
         i, j = np.nonzero(np.tril(x @ x.T >= threshold, -1))
         ok = own[i] & (rank[i] - rank[j] <= window) & (which[i] == which[j])
-        i, j = i[ok], j[ok]
-        before = (np.abs(ranks[i] - ranks[j]) <= window) & (np.arange(ranks.shape[1]) < which[i][:, None])
-        new = ~before.any(axis=1)
-        i, j = i[new], j[new]
-        rep, n = b["rep"].to_numpy(), b["n"].to_numpy()
-        counts = np.bincount(i, n[j], len(b)) + np.bincount(j, n[i], len(b))
         sets = Joined(len(b))
-        out = [(rep[p], rep[q], 0) for p, q in zip(i.tolist(), j.tolist()) if sets.join(p, q)]
-        out += [(rep[p], None, counts[p]) for p in np.flatnonzero(counts)]
-        return pd.DataFrame(out, columns=["rep", "other", "n"]).astype({"rep": "int64", "other": "Int64", "n": "int64"})
+        joined = [sets.join(p, q) for p, q in zip(i[ok].tolist(), j[ok].tolist())]
+        return pd.DataFrame({"a": rep[i[ok]][joined], "b": rep[j[ok]][joined]}, dtype="int64")
 
-    return placed.groupBy("block").applyInPandas(compare, "rep long, other long, n long")
+    # A length's ranks follow each other, so a block that holds two lengths is two groups.
+    return placed.groupBy("d", "block").applyInPandas(compare, "a long, b long").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def exact_counts(members: DataFrame, threshold: float) -> DataFrame:
@@ -163,29 +181,20 @@ def exact_counts(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 64, id_col: str = "vec_id",
                     vec_col: str = "embedding") -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept. passes: by default as many as passes_for the number of classes."""
+    """Per row: vec_id, n_links, component_id, kept. passes: by default as many as passes_for each length's classes and mean cosine."""
     reps, members = classes(vectors, id_col, vec_col)
-    passes = passes or passes_for(reps.count(), window, threshold)
-    # Numbers over all passes at once: a window never looks across a pass.
-    ranked = row_index(sort_keys(reps, passes), [F.col("pass"), F.col("key"), F.col("rep")], "rank").select("rep", "pass", "rank")
-    ranks = ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pass", "rank"))).alias("r"))
-    full = stored(reps.join(ranks, "rep").select("rep", "n", "v", F.col("r.rank").alias("ranks")))
-    placed = full.select("rep", "n", "v", "ranks", F.posexplode("ranks").alias("pass", "rank"))
-    links = stored(window_links(placed, threshold, window))
-    roots = stored(components(links.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))))
-    found = links.where("other IS NULL").groupBy("rep").agg(F.sum("n").alias("n_links"))
-
-    # Every root stands for itself too; components of three or more classes are counted exactly.
-    rooted = stored(
-        full.select("rep", "n").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .withColumn("root", F.coalesce("root", "rep")).join(found, "rep", "left")
-    )
-    sizes = stored(rooted.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > 2))
-    linked = stored(rooted.select("root", "rep").join(sizes, "root").join(full.select("rep", "n", "v"), "rep"))
-    exact = stored(exact_counts(linked, threshold))
+    # Numbers over all lengths and passes at once: a window never looks across one.
+    order = [F.col(c) for c in ("d", "pass", "key", "rep")]
+    ranked = row_index(sort_keys(reps, passes, window, threshold), order, "rank").select("d", "pass", "rep", "rank")
+    roots = stored(components(stored(window_links(ranked, reps, threshold, window))).select(F.col("node").alias("rep"), "root"))
+
+    # Every root stands for itself too; links between the classes of a component are counted exactly.
+    linked = roots.unionByName(roots.select(F.col("root").alias("rep"), "root")).distinct()
+    sizes = linked.groupBy("root").agg(F.count("*").alias("size"))
+    exact = stored(exact_counts(stored(linked.join(sizes, "root").join(reps, "rep")), threshold))
     counted = stored(
-        rooted.join(exact.withColumnRenamed("n_links", "exact"), "rep", "left")
-        .select("rep", "root", (F.coalesce("exact", "n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+        reps.select("rep", "n").join(linked, "rep", "left").join(exact, "rep", "left")
+        .select("rep", F.coalesce("root", "rep").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     )
     answered = stored(
         members.join(counted, "rep").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("root").alias("component_id"))

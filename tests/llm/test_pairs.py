@@ -184,9 +184,9 @@ def test_runs_are_the_shortest_that_are_long_enough():
 
 
 def brute_vectors(rows, threshold=0.9):
-    ok = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    ok = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = sorted(ok)
-    pairs = [(a, b) for n, a in enumerate(ids) for b in ids[:n] if ok[a] @ ok[b] / np.linalg.norm(ok[a]) / np.linalg.norm(ok[b]) >= threshold]
+    pairs = [(a, b) for n, a in enumerate(ids) for b in ids[:n] if len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] / np.linalg.norm(ok[a]) / np.linalg.norm(ok[b]) >= threshold]
     up = {i: i for i, _ in rows}
     for _ in ids:
         for a, b in pairs:
@@ -204,6 +204,8 @@ def test_vectors_equal_brute_force(spark):
             rows.append((at, [float(np.float32(x)) for x in centre + rng.normal(size=8) * 0.02]))
             at -= 1
     rows += [(2000, rows[3][1]), (1, rows[3][1]), (3000, None), (3001, [0.0] * 8), (3002, [float("nan")] * 8), (3003, [None] * 8), (3004, [1.0] * 3), (3005, [])]
+    # Other lengths are compared among themselves: equal, near and far ones.
+    rows += [(3100, [1.0, 2.0, 3.0]), (3101, [1.0, 2.0, 3.0]), (3102, [1.0, 2.0, 3.5]), (3103, [-1.0, 0.0, 1.0]), (3104, [2.0]), (3105, [5.0]), (3106, [-1.0])]
     df = spark.createDataFrame([(i, v, "l", 1) for i, v in rows], "vec_id long, embedding array<float>, label string, rank int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.near_duplicates(df, window=16).collect()}
     assert got == brute_vectors(rows)
@@ -214,28 +216,40 @@ def test_vectors_equal_brute_force(spark):
     assert {(r["n_links"], r["component_id"], r["kept"]) for r in alone} == {(0, None, False)}
 
 
-def in_a_window(n, pairs, passes, window=64, d=32, seed=3):
-    """Share of the planted pairs at cosine 0.9, among n random vectors, that some pass has in one window."""
+def in_a_window(n, pairs, passes, window=64, d=32, seed=3, mean_cosine=0.0, centre=True):
+    """Share of the planted pairs at cosine 0.9, among n vectors of a mean cosine, that some pass has in one window."""
     rng = np.random.default_rng(seed)
-    x = rng.normal(size=(n, d))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def within(x, base):
+        """Unit vectors at right angles to the base ones."""
+        x = x - (x * base).sum(axis=1, keepdims=True) * base
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    axis = np.eye(1, d)
+    own = within(rng.normal(size=(n, d)), axis)
+    near = (0.9 - mean_cosine) / (1 - mean_cosine)  # of what the axis does not account for
     side = rng.normal(size=(pairs, d))
-    side -= (side * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
-    x[pairs:2 * pairs] = 0.9 * x[:pairs] + np.sqrt(0.19) * side / np.linalg.norm(side, axis=1, keepdims=True)
-    met = np.zeros(pairs, bool)
-    for p in range(passes):
-        planes = np.random.default_rng([5, p]).normal(size=(d, V.BITS))
-        keys = np.packbits(x @ planes > 0, axis=1).view(">u8")[:, 0]
+    side -= side @ axis.T * axis
+    own[pairs:2 * pairs] = near * own[:pairs] + np.sqrt(1 - near * near) * within(side, own[:pairs])
+    x = np.sqrt(mean_cosine) * axis + np.sqrt(1 - mean_cosine) * own
+    assert np.allclose((x[:pairs] * x[pairs:2 * pairs]).sum(axis=1), 0.9)
+    mean, met = x.mean(axis=0) * centre, np.zeros(pairs, bool)
+    for p in range(passes(float(x.mean(axis=0) @ x.mean(axis=0)))):
         rank = np.empty(n, np.int64)
-        rank[np.argsort(keys, kind="stable")] = np.arange(n)
+        rank[np.argsort(V.sign_bits(x, mean, p), kind="stable")] = np.arange(n)
         met |= np.abs(rank[:pairs] - rank[pairs:2 * pairs]) <= window
     return met.mean()
 
 
+@pytest.mark.parametrize("n, mean_cosine", [(20_000, 0.0), (20_000, 0.5), (20_000, 0.7), (100_000, 0.5), (100_000, 0.7)])
+def test_planted_pairs_meet_whatever_the_mean_cosine(n, mean_cosine):
+    assert in_a_window(n, 1000, lambda m: V.passes_for(n, mean_cosine=m), mean_cosine=mean_cosine) >= 0.98
+
+
 def test_passes_grow_with_the_classes_and_keep_the_miss_rate():
     assert [V.passes_for(n) for n in (0, 64, 1000)] == [10, 10, 10]
     assert V.passes_for(10**5) < V.passes_for(10**6) < V.passes_for(10**7)
-    assert in_a_window(100_000, 2000, V.passes_for(100_000)) >= 0.98 > in_a_window(100_000, 2000, 10)
+    assert in_a_window(100_000, 2000, lambda m: V.passes_for(100_000)) >= 0.98 > in_a_window(100_000, 2000, lambda m: 10)
 
 
 def test_links_of_small_components_are_counted_exactly(spark):
