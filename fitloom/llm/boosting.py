@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Where the columns may be split.
+QUANTILES = np.linspace(0.05, 0.95, 15)
+
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
@@ -12,14 +15,18 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class Boosted:
     """rounds trees of so many levels, each level of a branch split where the loss falls most."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3):
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3,
+                 weights: np.ndarray | None = None, cuts: list[np.ndarray] | None = None):
+        """weights: how many rows a row stands for; cuts: the thresholds of each column, where they are known."""
         self.depth, self.rate, self.trees = depth, rate, []
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0.05, 0.95, 15))) for c in x.T]
-        self.base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+        w = np.ones(len(x)) if weights is None else weights
+        self.cuts = [np.unique(np.quantile(c, QUANTILES)) for c in x.T] if cuts is None else cuts
+        mean = float((w * y).sum() / w.sum())
+        self.base = float(np.log((mean + 1e-6) / (1 - mean + 1e-6)))
         z = np.full(len(x), self.base)
         for _ in range(rounds):
             p = sigmoid(z)
-            tree = self._grow(x, y - p, p * (1 - p))
+            tree = self._grow(x, w * (y - p), w * p * (1 - p))
             self.trees.append(tree)
             z += rate * self._leaf(tree, x)
 

@@ -2,8 +2,8 @@
 
 Base spans (mail, ip, card, phone) follow fixed formats and checks and always stay. Generators of high
 recall propose further, overlapping spans: numbers in groups, written-out mail addresses, account
-numbers. Trees judge each by its format and its context; they learn from candidates of a bounded
-sample of texts, labelled by the base formats: what overlaps a valid base span is personal, what failed
+numbers. Trees judge each by its format and its context; they learn from the candidates of all
+texts (fit_all, or those of a bounded sample: fit), labelled by the base formats: what overlaps a valid base span is personal, what failed
 a check or stands in an address is not. The threshold is calibrated on candidates the trees did not see: the
 least score at which precision holds. Accepted spans that overlap no base span nor a better one are added.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.boosting import Boosted
+from fitloom.llm.boosting import QUANTILES, Boosted
+from fitloom.session import stored_once
 
 KINDS = ("email", "ip", "card", "phone", "account")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,6 +41,8 @@ _WIDE = (
 )
 #: Words that announce personal data.
 CUES = ("tel", "phone", "call", "fax", "mobile", "card", "visa", "iban", "account", "mail", "email", "contact", "ip", "address", "ssn")
+#: Columns of a candidate's description.
+COLUMNS = 17
 Span = tuple[str, int, int]
 
 
@@ -103,33 +107,45 @@ def overlaps(a: Span, others: list[Span]) -> bool:
     return any(a[1] < o[2] and o[1] < a[2] for o in others)
 
 
+def labelled(text: str) -> Iterator[tuple[list[float], float, tuple[int, int]]]:
+    """Candidates that base formats or an address before them label: description, label, place."""
+    candidates = proposals(text)
+    if not candidates:
+        return
+    found = base_spans(text)
+    failed = [(k, i, j) for k, i, j, ok in numbers(text) if not ok and j - i > 6]
+    for c in candidates:
+        if overlaps(c, found):
+            yield describe(text, c), 1.0, c[1:]
+        elif overlaps(c, failed) or "/" in text[max(0, c[1] - 6):c[1]]:
+            yield describe(text, c), 0.0, c[1:]
+
+
 class Model:
     """Trees and their threshold; without findings of both labels nothing is added."""
 
     def __init__(self, texts: list[str], precision: float = 0.98):
-        x, y = [], []
-        for text in texts:
-            found = base_spans(text)
-            failed = [(k, i, j) for k, i, j, ok in numbers(text) if not ok and j - i > 6]
-            for c in proposals(text):
-                if overlaps(c, found):
-                    x.append(describe(text, c))
-                    y.append(1.0)
-                elif overlaps(c, failed) or "/" in text[max(0, c[1] - 6):c[1]]:
-                    x.append(describe(text, c))
-                    y.append(0.0)
+        rows = [row for text in texts for row in labelled(text)]
+        x, y = np.array([x for x, _, _ in rows]), np.array([y for _, y, _ in rows])
+        self._learn(x, y, np.ones(len(y)), np.arange(len(y)) % 3 == 2, precision)
+
+    @classmethod
+    def of_counts(cls, x: np.ndarray, y: np.ndarray, n: np.ndarray, held: np.ndarray, cuts: list[np.ndarray], precision: float = 0.98) -> Model:
+        """From distinct candidates that occur n times each, their columns being cuts that no value between is told from."""
+        model = cls([])
+        model._learn(x, y, n, held, precision, cuts)
+        return model
+
+    def _learn(self, x, y, n, held, precision, cuts=None) -> None:
         self.trees, self.threshold = None, 1.1
-        if len(set(y)) == 2 and len(y) >= 20:
-            x, y = np.array(x), np.array(y)
-            held = np.arange(len(y)) % 3 == 2
-            if len(set(y[~held])) == 2:
-                self.trees = Boosted(x[~held], y[~held])
-                p = self.trees.probability(x[held])
-                order = np.argsort(-p, kind="stable")
-                right = np.cumsum(y[held][order]) / np.arange(1, held.sum() + 1)
-                good = np.flatnonzero(right >= precision)
-                if len(good):
-                    self.threshold = max(float(p[order][good[-1]]), 0.5)
+        if len(set(y)) == 2 and n.sum() >= 20 and len(set(y[~held])) == 2:
+            self.trees = Boosted(x[~held], y[~held], weights=n[~held], cuts=cuts)
+            p = self.trees.probability(x[held])
+            order = np.argsort(-p, kind="stable")
+            right = np.cumsum((n * y)[held][order]) / np.cumsum(n[held][order])
+            good = np.flatnonzero(right >= precision)
+            if len(good):
+                self.threshold = max(float(p[order][good[-1]]), 0.5)
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans."""
@@ -164,6 +180,45 @@ def fit(documents: DataFrame, sample: int = 3000) -> Model:
     return Model([r["text"] for r in rows.distinct().orderBy("h", "text").limit(sample).collect()])
 
 
+#: Distinct candidates, told apart by the thresholds alone, that the driver learns from.
+GROUPS = 50_000
+
+
+def fit_all(documents: DataFrame, groups: int = GROUPS) -> Model:
+    """A model from the candidates of all rows; each row counts, repeated ones too.
+
+    Tasks describe the candidates and Spark counts equal ones, takes each column's quantiles over all of them and counts again by
+    the thresholds that a value lies between: trees ask for nothing else, so these counts are all they can learn from. Should
+    there be more than groups of them, every second threshold goes until there are not; no candidate is left out.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(0):
+                text = t.as_py()
+                # A third is held back, by a checksum of what stands around the place.
+                rows += [(x, int(y), zlib.crc32(text[max(0, i - 32):j].encode("utf-8", "surrogatepass")) % 3 == 2) for x, y, (i, j) in labelled(text)]
+            x, y, held = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(held, pa.bool_())], ["x", "y", "held"])
+
+    rows = documents.select("text").where(F.col("text").rlike("[0-9]")).mapInArrow(run, "x array<double>, y int, held boolean")
+    counts = stored_once(rows.groupBy("x", "y", "held").agg(F.count("*").alias("n")))
+    # A column has few distinct values: the formats bound lengths and groups.
+    quantiles = counts.select(*[F.percentile(F.col("x")[k], [float(q) for q in QUANTILES], F.col("n")) for k in range(COLUMNS)]).first()
+    cuts = [np.unique(q) if q is not None else np.zeros(0) for q in quantiles]
+    while True:
+        at = F.array(*[F.size(F.filter(F.array(*[F.lit(float(c)) for c in cs]).cast("array<double>"), lambda c, k=k: c < F.col("x")[k])) for k, cs in enumerate(cuts)])
+        told = counts.groupBy(at.alias("at"), "y", "held").agg(F.sum("n").alias("n"))
+        found = told.limit(groups + 1).collect()
+        if len(found) <= groups:
+            break
+        cuts = [cs[::2] if len(cs) > 1 else cs[:0] for cs in cuts]
+    found.sort(key=lambda r: (r["at"], r["y"], r["held"]))
+    x = np.array([[[*cs, np.inf][i] for i, cs in zip(r["at"], cuts)] for r in found])
+    column = lambda name, kind: np.array([r[name] for r in found], kind)
+    return Model.of_counts(x, column("y", float), column("n", float), column("held", bool), cuts)
+
+
 def find(documents: DataFrame, model: Model, mask: bool = False) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (all, base and added), and with mask the redacted text."""
     broadcast = documents.sparkSession.sparkContext.broadcast(model)

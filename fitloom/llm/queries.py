@@ -62,7 +62,7 @@ def op7_url_trie(spark: SparkSession, d: str) -> DataFrame:
 
 def op8_pii_boosting(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    return pii.find(documents, pii.fit(documents))
+    return pii.find(documents, pii.fit_all(documents))
 
 
 def op9_quality_network(spark: SparkSession, d: str) -> DataFrame:
