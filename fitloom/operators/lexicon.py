@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fitloom.functions.lexicons import FALLBACK_ROLE, ROLE_CAP, RoleRule
 from fitloom.functions.text import let
 from fitloom.operators.roles import _FIELDS, keyword_union
+from fitloom.session import stored_once
 
 #: Code points of a gram; shorter words are grams themselves.
 GRAM = 4
@@ -42,7 +43,8 @@ def table_hits(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", tex
 
     With fold words are lower-cased, too; without it a word with capitals is in no text.
     """
-    index = anchors(lexicon, word_col, fold)
+    # Stored, so that its size is known before the join: only a large lexicon makes the texts' grams be shuffled.
+    index = stored_once(anchors(lexicon, word_col, fold))
     # At most GRAM sizes.
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect())
     if not sizes:
