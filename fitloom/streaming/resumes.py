@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fitloom.functions.lexicons import ProfileTerms
 from fitloom.plans.profiles import parse_profiles
+from fitloom.session import listing_session
 from fitloom.sources import files
 
 PROFILES, QUARANTINE, BATCH = "profiles", "quarantine", "batch_id"
@@ -24,8 +25,10 @@ def ingest_resumes(spark: SparkSession, landing: str, path: str, checkpoint: str
     every file stored once. max_files bounds the files of each format in a micro-batch; the default takes all
     there are. The landing folder must exist; it and the others must be shared by all executors.
     """
+    session = listing_session(spark)
+
     def reader():
-        stream = spark.readStream
+        stream = session.readStream
         return stream if max_files is None else stream.option("maxFilesPerTrigger", max_files)
 
     def store(batch: DataFrame, batch_id: int) -> None:

@@ -1,3 +1,4 @@
+from fitloom.session import listing_session
 from fitloom.streaming import resumes as R
 from test_files import docx
 
@@ -37,3 +38,29 @@ def test_a_repeated_batch_overwrites_its_folder(spark, tmp_path):
     if crc.exists():
         crc.unlink()
     assert run(spark, tmp_path) == first and first[2] == 1
+
+
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    for i in range(150):
+        folder = tmp_path / "landing" / f"file={i}"
+        folder.mkdir(parents=True)
+        (folder / "a.txt").write_text(f"Jane Roe\njane{i}@x.org", encoding="utf-8")
+    tracker, before = spark.sparkContext.statusTracker(), set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    R.ingest_resumes(spark, *(str(tmp_path / n) for n in ("landing", "out", "state"))).awaitTermination()
+    assert R.read_profiles(spark, str(tmp_path / "out")).select("email").distinct().count() == 150
+    tasks = [stage.numTasks for job in set(tracker.getJobIdsForGroup()) - before if (info := tracker.getJobInfo(job))
+             for stage in map(tracker.getStageInfo, info.stageIds) if stage]
+    assert any(n == 4 * spark.sparkContext.defaultParallelism for n in tasks)
+    assert max(tasks) < 150
+
+
+def test_a_listing_session_keeps_the_settings(spark):
+    key, tasks = "spark.sql.shuffle.partitions", "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "13")
+        session = listing_session(spark)
+        assert session.conf.get(key) == "13" and session.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
+        assert int(session.conf.get(tasks)) <= 4 * spark.sparkContext.defaultParallelism and spark.conf.get(tasks, "10000") == "10000"
+    finally:
+        spark.conf.set(key, old)

@@ -83,3 +83,19 @@ def test_skill_overlap_repeats(value):
     lists = [F.array(F.lit("Python"), F.lit("SQL")), F.array(F.lit("Python")), F.array(F.lit("Go"))]
     assert value("use python", lambda c: X.skill_overlap(*lists, c)) == ["Python"]
     assert value("use python", lambda c: X.skill_overlap(*lists, c, repeats=True)) == ["Python", "Python"]
+
+
+def test_words_are_counted_by_run_and_ranked_by_first_sight(spark):
+    text = "Beta alpha beta. ALPHA gamma delta gamma the the the of é1 zeta"
+    got = spark.createDataFrame([(text,), ("",), (None,), ("one",)], "t string").select(
+        F.transform(X.word_counts(F.col("t"), ("the",)), lambda r: F.struct("t", r["word"].alias("word"), r["n"].alias("n"))).alias("c"),
+        X.top_keywords(F.col("t"), ("the",), 2).alias("k")).collect()
+    assert {(r.word, r.n) for r in got[0].c} == {("beta", 2), ("alpha", 2), ("gamma", 2), ("delta", 1), ("zeta", 1)}
+    assert [(r.word, r.n) for r in got[0].k] == [("beta", 2), ("alpha", 2)]
+    assert got[1].c == [] and got[1].k == [] and got[2].c is None and got[2].k is None and got[3].k == []
+
+
+def test_an_address_is_found_from_where_its_characters_begin(spark):
+    texts = ["no", "a@b @c.de x@y.z", "..%a.b@c.example.org, d@e.fr", "a@b@c.de", "ü.x@y.com", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.email(F.col("t")).alias("e")).collect()
+    assert [r.e for r in sorted(rows)] == [None, None, "..%a.b@c.example.org", "b@c.de", ".x@y.com", None]
