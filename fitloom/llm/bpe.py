@@ -3,7 +3,7 @@
 A text is cut at single spaces between words, where no match of the split pattern can cross, and those
 chunks into the pattern's matches. Matches not met before in the task go to DuckDB: a recursive query
 joins the token pairs of each with the merge table and contracts its leftmost pair of least rank until
-no pair is left; an ordered aggregation turns the tokens back to bytes. Long matches contract all
+no pair is left; the tokens' bytes are looked up and joined as Arrow columns. Long matches contract all
 non-overlapping pairs of the least rank in one step, left to right, which gives the same tokens.
 
 Null texts are encoded as empty ones; empty texts have no tokens. Rows may repeat. Special tokens are
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,14 +63,7 @@ WITH RECURSIVE step(word, toks, round) USING KEY (word) AS (
   ) GROUP BY word
 ) SELECT word, toks, round FROM step
 """
-_TAIL = """
-, done AS MATERIALIZED (SELECT word, toks FROM step)
-SELECT word, array_to_string(toks, ' ') AS ids, bytes FROM done JOIN (
-  SELECT word, string_agg(hex, '' ORDER BY p) AS bytes
-  FROM (SELECT word, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS p FROM done) JOIN vocabulary USING (tok)
-  GROUP BY word
-) USING (word)
-"""
+_RESULT = " SELECT word, toks FROM step"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -109,12 +103,13 @@ class Codec:
         pairs = [(ranks[t[:i]] * 65536 + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t))
                  if t[:i] in ranks and t[i:] in ranks]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int64())})
-        vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
+        token_of = {r: t for t, r in ranks.items()}
+        self.token_bytes = pa.array([token_of.get(r) for r in range(max(token_of) + 1)], pa.binary())
+        self.token_names = pa.array(list(map(str, range(len(self.token_bytes)))))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
-        for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
-            self.db.register("rows", rows)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
-            self.db.unregister("rows")
+        self.db.register("rows", merges)
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM rows")
+        self.db.unregister("rows")
 
     def begin(self, words: list[int], toks: pa.Array) -> None:
         self.db.register("start", pa.table({"word": pa.array(words, pa.int32()), "toks": toks}))
@@ -124,12 +119,21 @@ class Codec:
         ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]))
 
+    def spelled(self, toks: pa.ListArray) -> tuple[list[str], list[bytes]]:
+        """Token ids, joined by one space, and decoded bytes of lists of tokens."""
+        joined = lambda parts, between: pc.binary_join(pa.ListArray.from_arrays(toks.offsets, parts.take(toks.values)), between).to_pylist()
+        return joined(self.token_names, " "), joined(self.token_bytes, b"")
+
     def merge(self, words: list[str]) -> list[tuple[str, bytes]]:
-        """Token ids, joined by one space, and decoded bytes of each distinct match."""
+        """Token ids, joined by one space, and decoded bytes of each distinct match.
+
+        Matches go to the queries by length: a query has as many rounds as its longest match asks for.
+        """
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        by_length = sorted(range(len(raw)), key=list(map(len, raw)).__getitem__)
         out: list = [None] * len(words)
-        for step, chosen in ((_STEP, [i for i, b in enumerate(raw) if len(b) < LONG]),
-                             (_STEP_LONG, [i for i, b in enumerate(raw) if len(b) >= LONG])):
+        for step, chosen in ((_STEP, [i for i in by_length if len(raw[i]) < LONG]),
+                             (_STEP_LONG, [i for i in by_length if len(raw[i]) >= LONG])):
             at = 0
             while at < len(chosen):
                 # As many matches as hold about 20 bytes each, one at least.
@@ -145,14 +149,17 @@ class Codec:
                     while (rows := self.db.execute(_STEP_LONG).fetchall()) and max(r for *_, r in rows) > 0:
                         self.begin([w for w, *_ in rows], pa.array([t for _, t, _ in rows], pa.list_(pa.int32())))
                     query = "WITH step AS (SELECT * FROM start)"
-                for word, ids, text in self.db.execute(query + _TAIL).fetchall():
-                    out[word] = (ids, bytes.fromhex(text))
+                done = self.db.sql(query + _RESULT).to_arrow_table().combine_chunks()
+                for word, ids, text in zip(done.column("word").to_pylist(), *self.spelled(done.column("toks").chunk(0))):
+                    out[word] = (ids, text)
         return out
 
     def learn(self, chunks: list[str]) -> dict[str, tuple[str, bytes]]:
         """(ids joined by one space, bytes) of chunks that the cache lacks."""
         cut = {c: self.matches(c) for c in chunks}
-        known = {p: self.seen.get(p) for pieces in cut.values() for p in pieces}
+        # A chunk that is one match was looked up as a chunk.
+        known = dict.fromkeys([pieces[0] for pieces in cut.values() if len(pieces) == 1])
+        known |= {p: self.seen.get(p) for p in {p for pieces in cut.values() if len(pieces) > 1 for p in pieces} - known.keys()}
         new = [p for p, v in known.items() if v is None]
         for p, value in zip(new, self.merge(new)):
             known[p] = value
@@ -178,7 +185,8 @@ class Codec:
             else:
                 ids[c], raw[c] = value
         for c, value in self.learn(new).items():
-            self.seen.put(c, value)
+            if c not in self.seen.young:  # a chunk that is one match was put there as a match
+                self.seen.put(c, value)
             ids[c], raw[c] = value
         out = []
         for chunks in cut:
@@ -187,7 +195,8 @@ class Codec:
         return out
 
 
-_ODD = re.compile(r"\s\s|^\s|\s$").search
+#: A space beside white space or at the end; beginning with the space, the search passes over all else quickly.
+_ODD = re.compile(r" (?:\s|\Z|(?<=\s ))").search
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 
 
@@ -195,7 +204,7 @@ def chunks_of(text: str) -> list[str]:
     """The text cut before each single space that stands between two non-space characters."""
     if not text:
         return []
-    first, *rest = _CUT(text) if _ODD(text) else text.split(" ")
+    first, *rest = _CUT(text) if text[0] == " " or _ODD(text) else text.split(" ")
     return [first, *[" " + p for p in rest]]
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -208,3 +209,13 @@ def test_levels_of_long_chains_and_cycles(spark):
     want = {**{str(i): i for i in range(40)}, "two": 40, "over": 41, "x": None, "y": None, "z": None, "free": 0}
     calls = spark.createDataFrame([(1, k, v) for k, v in needs.items()], "conv_id int, call_id string, needs array<string>")
     assert {r.call_id: r.level for r in toolcalls.levels(calls).collect()} == want
+
+
+def test_byte_pair_matches_are_spelled_by_columns_and_cut_without_a_search():
+    worker = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    ranks = bpe.read_ranks(RANKS)
+    toks = pa.array([[ranks[b"a"], ranks[b"b"]], [ranks[b" "]], [ranks[b"\xff"]]], pa.list_(pa.int32()))
+    assert worker.spelled(toks) == ([f"{ranks[b'a']} {ranks[b'b']}", str(ranks[b" "]), str(ranks[b"\xff"])], [b"ab", b" ", b"\xff"])
+    assert not any(map(bpe._ODD, ("a\n\nb c", "\na b\n", "a\tb")))
+    assert all(map(bpe._ODD, ("a  b", "a \nb", "a\n b", "a b ")))
+    assert bpe.chunks_of(" a  b c ") == [" a  b", " c "] and bpe.chunks_of("a\n\nb c") == ["a\n\nb", " c"]
