@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with recursive DuckDB queries inside Spark tasks.
 
-A text is cut at single spaces between words, where no match of the split pattern can cross, and those
-chunks into the pattern's matches. Matches not met before in the task go to DuckDB: a recursive query
-joins the token pairs of each with the merge table and contracts its leftmost pair of least rank until
-no pair is left; the tokens' bytes are looked up and joined as Arrow columns. Long matches contract all
-non-overlapping pairs of the least rank in one step, left to right, which gives the same tokens.
+A text is cut at single spaces between words, where no match of the split pattern can cross, and the
+distinct chunks of a slice of texts into the pattern's matches. Distinct matches not met before in the
+task go to DuckDB: a recursive query joins the token pairs of each with the merge table and contracts its
+leftmost pair of least rank until no pair is left. Long matches contract all non-overlapping pairs of the
+least rank in one step, left to right, which gives the same tokens. Tokens' bytes are looked up and joined
+as Arrow columns, to matches, chunks and texts in turn; matches met lately are kept as columns as well.
 
 Null texts are encoded as empty ones; empty texts have no tokens. Rows may repeat. Special tokens are
 ordinary text. Every row is answered; other columns are ignored.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import duckdb
@@ -25,11 +27,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that the younger of the cache's two generations holds.
-CACHE = 150_000
+#: Matches that a worker keeps, with their tokens.
+CACHE = 300_000
 #: Matches in one recursive query, and bytes from which a match counts as long.
 QUERY_WORDS, LONG = 16_000, 200
 
+#: Marks that end a match of letters before them, and are one by themselves at the end of a chunk.
+MARKS = ".,!?;:"
+_LETTER, _MARK = (np.isin(np.arange(256), list(map(ord, chars))) for chars in (string.ascii_letters, MARKS))
+SPELLED = pa.schema([("match", pa.large_binary()), ("ids", pa.large_string()), ("bytes", pa.large_binary())])
+
 _STEP = """
 WITH RECURSIVE states(word, toks) AS (
   SELECT word, toks FROM start
@@ -72,23 +79,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Recent:
-    """A bounded cache of two generations; what is used again moves to the younger."""
+    """A bounded table of the matches met lately, with their token ids and bytes; the latest stand first."""
 
     def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
+        self.size, self.rows = size, pa.RecordBatch.from_pylist([], SPELLED)
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+    def get(self, matches: pa.Array, learn) -> pa.RecordBatch:
+        """The rows of distinct matches, in their order; what is not kept is learnt."""
+        found = pc.index_in(matches, value_set=self.rows.column("match"))
+        at, absent = found.fill_null(0).to_numpy(), found.is_null().to_numpy(zero_copy_only=False)
+        older = np.ones(len(self.rows), bool)
+        older[at[~absent]] = False
+        at = np.where(absent, len(self.rows) + np.cumsum(absent) - 1, at)
+        rows = pa.concat_batches([self.rows, learn(matches.filter(pa.array(absent)))]).take(pa.array(at))
+        self.rows = pa.concat_batches([rows, self.rows.filter(pa.array(older))]).slice(0, self.size)
+        return rows
 
 
 class Codec:
@@ -99,102 +104,125 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.letters_match = self.split("Ab cé, d") == ["Ab", " cé", ",", " d"]  # as in the usual pattern
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.seen = Recent(CACHE)  # chunks and matches alike: a match cut by itself is one match
+        self.seen = Recent(CACHE)
         pairs = [(ranks[t[:i]] * 65536 + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t))
                  if t[:i] in ranks and t[i:] in ranks]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int64())})
         token_of = {r: t for t, r in ranks.items()}
-        self.token_bytes = pa.array([token_of.get(r) for r in range(max(token_of) + 1)], pa.binary())
-        self.token_names = pa.array(list(map(str, range(len(self.token_bytes)))))
+        self.token_bytes = pa.array([token_of.get(r) for r in range(max(token_of) + 1)], pa.large_binary())
+        self.token_names = pa.array(list(map(str, range(len(self.token_bytes)))), pa.large_string())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.db.register("rows", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM rows")
         self.db.unregister("rows")
 
-    def begin(self, words: list[int], toks: pa.Array) -> None:
-        self.db.register("start", pa.table({"word": pa.array(words, pa.int32()), "toks": toks}))
+    def begin(self, words: pa.Array, toks: pa.Array) -> None:
+        self.db.register("start", pa.table({"word": words, "toks": toks}))
 
-    def byte_tokens(self, raw: list[bytes]) -> pa.Array:
+    def byte_tokens(self, raw: pa.Array) -> pa.Array:
         """Lists of the tokens of single bytes."""
-        ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]))
+        data, ends = bytes_of(raw)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.byte_ids[data]))
 
-    def spelled(self, toks: pa.ListArray) -> tuple[list[str], list[bytes]]:
+    def joined(self, toks: pa.ListArray) -> tuple[pa.Array, pa.Array]:
         """Token ids, joined by one space, and decoded bytes of lists of tokens."""
-        joined = lambda parts, between: pc.binary_join(pa.ListArray.from_arrays(toks.offsets, parts.take(toks.values)), between).to_pylist()
-        return joined(self.token_names, " "), joined(self.token_bytes, b"")
+        return join(toks.offsets, self.token_names.take(toks.values), " "), join(toks.offsets, self.token_bytes.take(toks.values), b"")
+
+    def spelled(self, toks: pa.ListArray) -> tuple[list[str], list[bytes]]:
+        ids, raw = self.joined(toks)
+        return ids.to_pylist(), raw.to_pylist()
 
-    def merge(self, words: list[str]) -> list[tuple[str, bytes]]:
-        """Token ids, joined by one space, and decoded bytes of each distinct match.
+    def merge(self, matches: pa.Array) -> pa.RecordBatch:
+        """Token ids, joined by one space, and decoded bytes of distinct matches.
 
         Matches go to the queries by length: a query has as many rounds as its longest match asks for.
         """
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        by_length = sorted(range(len(raw)), key=list(map(len, raw)).__getitem__)
-        out: list = [None] * len(words)
-        for step, chosen in ((_STEP, [i for i in by_length if len(raw[i]) < LONG]),
-                             (_STEP_LONG, [i for i in by_length if len(raw[i]) >= LONG])):
-            at = 0
-            while at < len(chosen):
-                # As many matches as hold about 20 bytes each, one at least.
-                part, size = [], 0
-                while at < len(chosen) and len(part) < QUERY_WORDS and (not part or size + len(raw[chosen[at]]) <= 20 * QUERY_WORDS):
-                    part.append(chosen[at])
-                    size += len(raw[chosen[at]])
-                    at += 1
-                self.begin(part, self.byte_tokens([raw[i] for i in part]))
-                query = step
-                if step is _STEP_LONG:
-                    # A recursion keeps the states of its rounds, so a long match goes through several short ones.
-                    while (rows := self.db.execute(_STEP_LONG).fetchall()) and max(r for *_, r in rows) > 0:
-                        self.begin([w for w, *_ in rows], pa.array([t for _, t, _ in rows], pa.list_(pa.int32())))
-                    query = "WITH step AS (SELECT * FROM start)"
-                done = self.db.sql(query + _RESULT).to_arrow_table().combine_chunks()
-                for word, ids, text in zip(done.column("word").to_pylist(), *self.spelled(done.column("toks").chunk(0))):
-                    out[word] = (ids, text)
-        return out
-
-    def learn(self, chunks: list[str]) -> dict[str, tuple[str, bytes]]:
-        """(ids joined by one space, bytes) of chunks that the cache lacks."""
-        cut = {c: self.matches(c) for c in chunks}
-        # A chunk that is one match was looked up as a chunk.
-        known = dict.fromkeys([pieces[0] for pieces in cut.values() if len(pieces) == 1])
-        known |= {p: self.seen.get(p) for p in {p for pieces in cut.values() if len(pieces) > 1 for p in pieces} - known.keys()}
-        new = [p for p, v in known.items() if v is None]
-        for p, value in zip(new, self.merge(new)):
-            known[p] = value
-            self.seen.put(p, value)
-        return {c: known[pieces[0]] if len(pieces) == 1 else
-                (" ".join([known[p][0] for p in pieces]), b"".join([known[p][1] for p in pieces])) for c, pieces in cut.items()}
+        sizes = pc.binary_length(matches).to_numpy()
+        order = np.argsort(sizes, kind="stable")
+        ends, n_short = np.cumsum(sizes[order]), int(np.count_nonzero(sizes < LONG))
+        done, at = [pa.RecordBatch.from_pylist([], SPELLED)], 0
+        while at < len(order):
+            # As many matches as hold about 20 bytes each, one at least, and all short or all long.
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, min(at + QUERY_WORDS, int(np.searchsorted(ends, before + 20 * QUERY_WORDS, "right"))))
+            query, stop = (_STEP, min(stop, n_short)) if at < n_short else (_STEP_LONG, stop)
+            part = matches.take(pa.array(order[at:stop]))
+            self.begin(pa.array(range(len(part)), pa.int32()), self.byte_tokens(part))
+            if query is _STEP_LONG:
+                # A recursion keeps the states of its rounds, so a long match goes through several short ones.
+                while (rows := self.db.execute(_STEP_LONG).fetchall()) and max(r for *_, r in rows) > 0:
+                    self.begin(pa.array([w for w, *_ in rows], pa.int32()), pa.array([t for _, t, _ in rows], pa.list_(pa.int32())))
+                query = "WITH step AS (SELECT * FROM start)"
+            rows = self.db.sql(query + _RESULT).to_arrow_table().combine_chunks()
+            done.append(pa.RecordBatch.from_arrays([part.take(rows.column("word").chunk(0)), *self.joined(rows.column("toks").chunk(0))], schema=SPELLED))
+            at = stop
+        done = pa.concat_batches(done)
+        return done.take(pc.index_in(matches, value_set=done.column("match")))
 
     def matches(self, chunk: str) -> list[str]:
         """Matches of the split pattern in a chunk; a word of letters, and one with a mark behind, need no search."""
-        word, mark = (chunk[:-1], chunk[-1:]) if chunk[-1] in ".,!?;:" else (chunk, "")
+        word, mark = (chunk[:-1], chunk[-1:]) if chunk[-1] in MARKS else (chunk, "")
         if self.letters_match and (word.isalpha() or word[:1] == " " and word[1:].isalpha()):
             return [word, mark] if mark else [word]
         return self.split(chunk)
 
+    def cut(self, chunks: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """Where the matches of each chunk begin and end, and these matches.
+
+        Words of plain letters, and such with a mark behind, are told by counting their bytes; the others are searched.
+        """
+        data, ends = bytes_of(chunks)
+        letters = np.diff(np.concatenate([[0], np.cumsum(_LETTER[data])])[ends])
+        beside = np.diff(ends) - (data[ends[:-1]] == ord(" ")) - letters  # bytes that are neither letters nor a space in front
+        word = self.letters_match & (letters > 0) & (beside == 0)
+        marked = self.letters_match & (letters > 0) & (beside == 1) & _MARK[data[ends[1:] - 1]]
+        kind = np.where(word, 0, np.where(marked, 1, 2))
+        other = [self.matches(c.decode("utf-8", "surrogatepass")) for c in chunks.filter(pa.array(kind == 2)).to_pylist()]
+        with_mark = chunks.filter(pa.array(marked))
+        found = pa.concat_arrays([chunks.filter(pa.array(word)), pc.binary_slice(with_mark, 0, -1), pc.binary_slice(with_mark, -1),
+                                  as_bytes([m for ms in other for m in ms])]).dictionary_encode()
+        counts = kind + 1
+        counts[kind == 2] = list(map(len, other))
+        # From words, words with marks, their marks and the others back to the order of the chunks.
+        kind = np.repeat(kind, counts)
+        n_words, n_marked = int(word.sum()), len(with_mark)
+        place = np.empty(len(kind), np.int64)
+        place[kind == 0] = np.arange(n_words)
+        place[kind == 1] = (n_words + np.arange(2 * n_marked)).reshape(2, n_marked).T.ravel()
+        place[kind == 2] = np.arange(n_words + 2 * n_marked, len(found))
+        return np.concatenate([[0], np.cumsum(counts)]), found.take(pa.array(place))
+
     def encode(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
         """(ids joined by one space, number of ids, decoded bytes) of whole texts."""
-        cut = [chunks_of(t) for t in texts]
-        ids, raw, new = {}, {}, []
-        for c in set().union(*cut):
-            value = self.seen.get(c)
-            if value is None:
-                new.append(c)
-            else:
-                ids[c], raw[c] = value
-        for c, value in self.learn(new).items():
-            if c not in self.seen.young:  # a chunk that is one match was put there as a match
-                self.seen.put(c, value)
-            ids[c], raw[c] = value
-        out = []
-        for chunks in cut:
-            joined = " ".join(map(ids.__getitem__, chunks))
-            out.append((joined, joined.count(" ") + 1 if chunks else 0, b"".join(map(raw.__getitem__, chunks))))
+        order, ends, chunks = chunked(texts)
+        inner, found = self.cut(chunks.dictionary)
+        matches = self.seen.get(found.dictionary, self.merge)
+        columns = []
+        for name, between in (("ids", " "), ("bytes", b"")):
+            of_chunk = join(inner, matches.column(name).take(found.indices), between)
+            columns.append(join(ends, of_chunk.take(chunks.indices), between).to_pylist())
+        out: list = [None] * len(texts)
+        for i, ids, raw in zip(order, *columns):
+            out[i] = (ids, ids.count(" ") + 1 if ids else 0, raw)
         return out
 
 
+def join(ends, parts: pa.Array, between: str | bytes) -> pa.Array:
+    """The parts between two ends, joined."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts), pa.scalar(between, parts.type))
+
+
+def as_bytes(texts: list[str]) -> pa.Array:
+    return pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary())
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column without nulls, one value behind the other, and where they end."""
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[ends[0]:ends[-1]], ends - ends[0]
+
+
 #: A space beside white space or at the end; beginning with the space, the search passes over all else quickly.
 _ODD = re.compile(r" (?:\s|\Z|(?<=\s ))").search
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
@@ -208,6 +236,31 @@ def chunks_of(text: str) -> list[str]:
     return [first, *[" " + p for p in rest]]
 
 
+def chunked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """The chunks of all texts, one text behind the other: the texts' order, where each ends, the chunks.
+
+    Texts whose spaces all stand between two words, as most do, are cut and counted as columns.
+    """
+    odd = np.array([not t or t[0] == " " or bool(_ODD(t)) for t in texts], bool)
+    order = np.argsort(odd, kind="stable")
+    n = len(texts) - int(odd.sum())
+    plain = pc.split_pattern(as_bytes([texts[i] for i in order[:n]]), " ")
+    others = [chunks_of(texts[i]) for i in order[n:]]
+    ends, words = plain.offsets.to_numpy(), plain.values
+    inner = np.ones(len(words), bool)
+    inner[ends[:-1]] = False
+    spaced = words.filter(pa.array(inner)).dictionary_encode()
+    chunks = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(b"", words.type), spaced.dictionary, pa.scalar(b" ", words.type)),
+                               words.filter(pa.array(~inner)), as_bytes([c for cs in others for c in cs])]).dictionary_encode()
+    at = chunks.indices.to_numpy()
+    codes = np.empty(len(words), np.int32)
+    codes[inner] = at[:len(spaced.dictionary)][spaced.indices.to_numpy()]
+    codes[~inner] = at[len(spaced.dictionary):len(spaced.dictionary) + n]
+    codes = np.concatenate([codes, at[len(spaced.dictionary) + n:]])
+    ends = np.concatenate([ends, ends[-1] + np.cumsum(list(map(len, others)), dtype=np.int64)])
+    return order, ends, pa.DictionaryArray.from_arrays(pa.array(codes), chunks.dictionary)
+
+
 _codecs: dict[tuple[str, str], Codec] = {}
 
 

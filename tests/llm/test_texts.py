@@ -219,3 +219,24 @@ def test_byte_pair_matches_are_spelled_by_columns_and_cut_without_a_search():
     assert not any(map(bpe._ODD, ("a\n\nb c", "\na b\n", "a\tb")))
     assert all(map(bpe._ODD, ("a  b", "a \nb", "a\n b", "a b ")))
     assert bpe.chunks_of(" a  b c ") == [" a  b", " c "] and bpe.chunks_of("a\n\nb c") == ["a\n\nb", " c"]
+
+
+def test_matches_are_kept_beside_any_number_of_chunks_and_plain_words_need_no_search(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 12)
+    worker = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    merge, split, merged, searched = worker.merge, worker.split, [], []
+    worker.merge = lambda matches: merged.append(len(matches)) or merge(matches)
+    worker.split = lambda chunk: searched.append(chunk) or split(chunk)
+    worker.matches = lambda chunk, plain=worker.matches: searched.append(chunk) or plain(chunk)
+    words = ["erntly", "whessh", "tionoire", "boring", "ueco"]
+    slices = [["".join(f" {w}{mark}" for w in words)[1:] for mark in marks] for marks in (("", ".", ",", "!"), ("?", ";"), (":", ""))]
+    for texts in slices:
+        assert worker.encode(texts) == [(" ".join(map(str, ids)), len(ids), t.encode()) for t in texts for ids in [known.encode_ordinary(t)]]
+    # Five words and three marks, then only the new marks: no match goes to the queries twice.
+    assert merged == [8, 2, 1] and not searched
+    # What has a space at an edge, two spaces, other letters or figures is searched, in the texts' order; an empty text is none.
+    texts = ["", "ueco 3 é. it's", " a", "b  c", "ueco", "", "d \n e.\nF", "whessh, ueco."]
+    assert worker.encode(texts) == [(" ".join(map(str, ids)), len(ids), t.encode()) for t in texts for ids in [known.encode_ordinary(t)]]
+    assert set(searched) >= {" 3", " é.", " it's", "b  c"} and "ueco" not in searched
+    assert worker.encode([]) == [] and worker.encode(["", ""]) == [("", 0, b"")] * 2
