@@ -1,5 +1,7 @@
 """What large inputs ask of the plans: wide rows stay where they were read."""
 
+import collections
+import glob
 import json
 
 import pyarrow as pa
@@ -12,6 +14,7 @@ from fitloom.functions.lexicons import MatchTerms
 from fitloom.llm import pii
 from fitloom.operators import lexicon
 from fitloom.plans import discovery, search
+from fitloom.session import shared_dir
 from fitloom.sources import payloads as P
 
 
@@ -38,6 +41,31 @@ def test_pairs_are_settled_in_their_own_row(spark):
     assert "Window" not in optimized(found) and "sha2" not in optimized(found)
 
 
+def test_turns_change_nothing_and_keep_only_what_is_read(spark, monkeypatch):
+    own_dir = shared_dir(spark).removeprefix("file:")
+    folders = lambda: {f for f in glob.glob(f"{own_dir}/fitloom-*/*") if glob.glob(f"{f}/**/*.parquet", recursive=True)}
+    posts = [(t, f"u{i % 9}" if i % 4 else "", r, o, i % 3) for i in range(60) for t, r, o in (("python intern", "A", 0), ("java intern", None, 9))]
+    postings = spark.createDataFrame(
+        [(t, "C", "L", "I", None, "python sql spark", u, None, "s", r, o, 0, n) for t, u, r, o, n in posts], schemas.POSTING)
+    # A resume that comes twice has its matches twice, and at a place without a link once per named role.
+    profiles = spark.createDataFrame([(1, "python sql spark"), (2, "sql"), (2, "sql"), (None, "sql")], "resume_id long, raw_text string")
+    roles = spark.createDataFrame([(1, "B", 1), (2, "A", 1), (2, "A", 1)], "resume_id long, role string, rank int")
+    monkeypatch.setattr(discovery, "PARTS", 3, raising=False)
+    seen = []
+    for rows in (1000, 1):
+        monkeypatch.setattr(discovery, "ROUND_ROWS", rows, raising=False)
+        before = folders()
+        found = discovery.match_offered(profiles, roles, postings, MatchTerms(), 0)
+        # The resumes' roles and tokens, and what each turn found.
+        assert len(folders() - before) <= 2 + (1 if rows == 1000 else 3)
+        seen.append(collections.Counter((r["resume_id"], r["link"], r["role"], r["role_ord"], r["seq"], r["title"]) for r in found.collect()))
+    assert seen[0] == seen[1]
+    assert {k[0] for k in seen[0]} == {1, 2}
+    at = lambda who, link, role: sum(n for k, n in seen[0].items() if k[:3] == (who, link, role))
+    assert (at(1, "", "A"), at(1, "", None), at(2, "", "A"), at(2, "", None)) == (0, 15, 60, 30)
+    assert all((at(1, f"u{i}", "A"), at(1, f"u{i}", None), at(2, f"u{i}", "A"), at(2, f"u{i}", None)) == (0, 1, 2, 0) for i in range(9))
+
+
 def test_capped_boards_are_chosen_before_their_items(spark):
     bodies = [("b0", ["x er", "y"]), ("b1", ["z er", "w er"]), ("b2", ["v er"])]
     rows = [(s, b, None, None, 200, None, json.dumps(items if s == P.BOARD_B else {"jobs": items})) for s, key in ((P.BOARD_A, "title"), (P.BOARD_B, "text"))
