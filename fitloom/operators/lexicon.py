@@ -3,10 +3,13 @@
 Every word is anchored at one of its grams, the one that fewest other words hold. A text's distinct grams meet the anchors in
 an equi-join; what they bring back is gathered per text, at most the words that share a gram with it, and tested on the
 text itself in its own row. So no text is tested against the whole lexicon, and a text is shuffled once.
+
+Of a text's grams only those of the anchors are cut where these are few; then the anchors go to the texts, and no text is shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,11 +22,27 @@ from fitloom.session import stored_once
 
 #: Code points of a gram; shorter words are grams themselves.
 GRAM = 4
+#: Words of a lexicon that is few: their grams fit one pattern.
+FEW = 256
+
+
+def _quoted(text: str) -> str:
+    return re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", text)
+
+
+def _any_of(words: Iterable[str]) -> str:
+    """A pattern of the words, those with one first character tried together."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        tails.setdefault(w[0], []).append(_quoted(w[1:]))
+    return "|".join(f"{_quoted(c)}(?:{'|'.join(t)})" for c, t in tails.items())
 
 
-def grams(low: Column, size: int) -> Column:
-    """All grams of a text, repeats kept, in one pass."""
-    return F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+def grams(low: Column, size: int, among: Iterable[str] = ()) -> Column:
+    """All grams of a text, repeats kept, in one pass; only those among some of that size where these are named."""
+    # No gram begins inside a character that Java keeps as two.
+    wanted = _any_of(among) or rf"[^\x{{DC00}}-\x{{DFFF}}].{{{size - 1}}}"
+    return F.regexp_extract_all(low, F.lit(f"(?s)(?=({wanted}))"), F.lit(1))
 
 
 def anchors(lexicon: DataFrame, word_col: str = "word", fold: bool = True) -> DataFrame:
@@ -45,10 +64,13 @@ def table_hits(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", tex
     """
     # Stored, so that its size is known before the join: only a large lexicon makes the texts' grams be shuffled.
     index = stored_once(anchors(lexicon, word_col, fold))
+    few = index.select("size", "gram").limit(FEW + 1).collect()
+    if not few:
+        return texts.select(id_col, F.lit("").alias("word")).limit(0)
+    if len(few) <= FEW:
+        return _few_hits(texts, index, sorted({(r["size"], r["gram"]) for r in few}), id_col, text_col)
     # At most GRAM sizes.
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect())
-    if not sizes:
-        return texts.select(id_col, F.lit("").alias("word")).limit(0)
     low = F.lower(text_col)
     held = texts.select(id_col, F.explode(F.array_distinct(let(low, lambda t: F.concat(*[grams(t, n) for n in sizes])))).alias("gram"))
     near = held.join(index, "gram").groupBy(id_col).agg(F.collect_set(F.struct("key", "word")).alias("near"))
@@ -56,6 +78,14 @@ def table_hits(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", tex
     return texts.select(id_col, text_col).join(near, id_col).select(id_col, F.explode(found).alias("w")).select(id_col, F.col("w.word").alias("word"))
 
 
+def _few_hits(texts: DataFrame, index: DataFrame, listed: list[tuple[int, str]], id_col: str, text_col: str) -> DataFrame:
+    """table_hits for an index of FEW rows at most: each text meets it where it was read, and its words are tested there."""
+    by_size = {n: [g for m, g in listed if m == n] for n in sorted({m for m, _ in listed})}
+    held = texts.where(F.col(id_col).isNotNull()).select(id_col, F.lower(text_col).alias("_low")).select(
+        id_col, "_low", F.explode(F.array_distinct(F.concat(*[grams(F.col("_low"), n, own) for n, own in by_size.items()]))).alias("gram"))
+    return held.join(F.broadcast(index), "gram").where(F.contains("_low", "key")).select(id_col, "word")
+
+
 def rules_table(spark: SparkSession, rules: Iterable[RoleRule]) -> DataFrame:
     """Rules as rows, one per trigger."""
     rows = [(i, r.role, r.min_matches, t) for i, r in enumerate(rules) for t in r.triggers]
@@ -71,7 +101,8 @@ def match_rules(texts: DataFrame, rules: DataFrame, id_col: str = "doc_id", text
     triggers = rules.select("trigger").where("trigger <> ''").distinct()
     hits = table_hits(texts, triggers, id_col, text_col, "trigger", fold=False).withColumnRenamed("word", "trigger")
     if keywords is not None:
-        hits = hits.unionByName(texts.select(id_col, F.explode(keywords).alias("trigger")).join(triggers, "trigger").select(id_col, "trigger")).distinct()
+        # A plain column in explode would be tested for rows first, and all that makes it be computed twice.
+        hits = hits.unionByName(texts.select(id_col, F.explode(F.array_distinct(keywords)).alias("trigger")).join(triggers, "trigger").select(id_col, "trigger")).distinct()
     return hits.join(rules.distinct(), "trigger").groupBy(id_col, "rule_ord", "role", "min_matches").agg(
         F.count("*").cast("int").alias("matches")).where("matches >= min_matches").select(id_col, "rule_ord", "role", "matches")
 

@@ -42,6 +42,34 @@ def test_words_are_anchored_once_and_joined_by_equality(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_few_words_equal_many(spark, monkeypatch):
+    rng = random.Random(9)
+    alphabet = "ab_é \n|(.$^\\E\U0001f600東"
+    make = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    texts = [make(rng.randrange(0, 80)) for _ in range(80)] + ["\\Q", "", None]
+    words = [make(rng.randrange(1, 7)) for _ in range(60)] + ["_", "\\E", "\\", "$a", "^", "\n", "\U0001f600", "a\U0001f600b_.", "a", "b", "ab", None, ""]
+    want = sorted((i, w) for i, t in enumerate(texts) if t for w in {x for x in words if x} if w.lower() in t.lower())
+    assert hits(spark, texts, words) == want
+    monkeypatch.setattr(L, "FEW", 0, raising=False)
+    assert hits(spark, texts, words) == want
+
+
+def test_few_words_meet_a_text_where_it_was_read(spark):
+    texts = spark.createDataFrame([(1, "a north wind"), (1, "the south"), (None, "north")], "doc_id long, text string")
+    found = L.table_hits(texts, spark.createDataFrame([("north",), ("th",)], "word string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "north"), (1, "th"), (1, "th")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1 and ".{" not in plan
+
+
+def test_keywords_are_made_once(spark):
+    texts = spark.createDataFrame([(1, "py", "sql go"), (2, "", None)], "doc_id int, text string, words string").select(
+        "doc_id", "text", F.split("words", " ").alias("kws"))
+    found = L.match_rules(texts, L.rules_table(spark, RULES), keywords="kws")
+    assert {(r["doc_id"], r["role"], r["matches"]) for r in found.collect()} == {(1, "A", 2), (1, "A", 1)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(words") == 1
+
+
 RULES = [RoleRule("A", 2, ("py", "sql", "py", "c++")), RoleRule("B", 1, ("Java", "java")), RoleRule("A", 1, ("go",)), RoleRule("C", 0, ("zz",))]
 
 
