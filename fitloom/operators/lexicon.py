@@ -80,9 +80,13 @@ def table_hits(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", tex
 
 def _few_hits(texts: DataFrame, index: DataFrame, listed: list[tuple[int, str]], id_col: str, text_col: str) -> DataFrame:
     """table_hits for an index of FEW rows at most: each text meets it where it was read, and its words are tested there."""
-    by_size = {n: [g for m, g in listed if m == n] for n in sorted({m for m, _ in listed})}
+    low = F.col("_low")
+    # Grams under GRAM code points are common: a test for each ends early, where a pattern would bring every place of them.
+    short = [F.when(F.contains(low, F.lit(g)), F.lit(g)) for n, g in listed if n < GRAM]
+    whole = [g for n, g in listed if n == GRAM]
+    cut = [F.array_distinct(grams(low, GRAM, whole))] if whole else []
     held = texts.where(F.col(id_col).isNotNull()).select(id_col, F.lower(text_col).alias("_low")).select(
-        id_col, "_low", F.explode(F.array_distinct(F.concat(*[grams(F.col("_low"), n, own) for n, own in by_size.items()]))).alias("gram"))
+        id_col, "_low", F.explode(F.concat(*cut, F.array_compact(F.array(*short)) if short else F.array().cast("array<string>"))).alias("gram"))
     return held.join(F.broadcast(index), "gram").where(F.contains("_low", "key")).select(id_col, "word")
 
 
